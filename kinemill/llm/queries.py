@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tokenizer_path
+from .common import scratch_path, table, tokenizer_path
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +21,24 @@ def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jpeg import read_texts, store_texts
+
+    return read_texts(store_texts(table(spark, sf_dir, "documents")))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import digest_documents
 
@@ -50,6 +62,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(expand(turns.unionByName(more)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_syncmer_fingerprints, op5_packing, op7_sentencepiece, op8_language, op9_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_syncmer_fingerprints, op4_warc, op5_packing, op6_progressive_jpeg, op7_sentencepiece, op8_language, op9_chat_format)}
 #: None of these results can be expressed in SQL; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
