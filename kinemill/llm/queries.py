@@ -69,6 +69,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(expand(turns.unionByName(more)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_syncmer_fingerprints, op3_sentence_spans, op4_warc, op5_packing, op6_progressive_jpeg, op7_sentencepiece, op8_language, op9_chat_format)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near import link
+
+    return link(table(spark, sf_dir, "documents")).drop("__doc")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_syncmer_fingerprints, op3_sentence_spans, op4_warc, op5_packing, op6_progressive_jpeg, op7_sentencepiece, op8_language, op9_chat_format, op10_ngram_jaccard)}
 #: None of these results can be expressed in SQL; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
