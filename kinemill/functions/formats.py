@@ -22,7 +22,8 @@ def strict_float(s: Column) -> Column:
 
 
 def six(x: Column) -> Column:
-    return F.format_string("%.6f", x.cast("double"))
+    """Six decimals, rounded half to even."""
+    return F.when(x.isNotNull(), F.format_string("%.6f", F.bround(x.cast("double"), 6)))
 
 
 def yolo_kind(tokens: Column) -> Column:

@@ -58,11 +58,13 @@ def centroid(points) -> Column:
 def bounding_box(points) -> Column:
     """min_x, min_y, max_x, max_y of the visible points; an axis on which one of them is unknown is NULL."""
     shown = F.filter(_col(points), lambda p: F.coalesce(p["visible"], F.lit(False)))
-    out = []
-    for axis in ("x", "y"):
-        whole = ~F.exists(shown, lambda p, a=axis: p[a].isNull())
-        values = F.transform(shown, lambda p, a=axis: p[a])
-        out += [F.when(whole, F.array_min(values)).alias(f"min_{axis}"), F.when(whole, F.array_max(values)).alias(f"max_{axis}")]
+
+    def ends(axis: str) -> list[Column]:
+        whole = ~F.exists(shown, lambda p: p[axis].isNull())
+        values = F.transform(shown, lambda p: p[axis])
+        return [F.when(whole, F.array_min(values)).alias(f"min_{axis}"), F.when(whole, F.array_max(values)).alias(f"max_{axis}")]
+
+    out = ends("x") + ends("y")
     return F.struct(out[0], out[2], out[1], out[3])
 
 
