@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, small
 
 TRAINED_ROLE = "assistant"
 END = "</turn>"
@@ -72,7 +72,7 @@ def expand(conversations: DataFrame, row_chars: int = 1_000_000) -> DataFrame:
         conv = object()  # equal to no id
         example = before = size = 0
         parts: list[str] = []
-        for batch in batches:
+        for batch in small(batches):
             rows: list[tuple] = []
 
             def put(is_example: bool, loss: tuple[int, int] = (0, 0), rows: list = rows) -> None:
@@ -115,7 +115,7 @@ def example_texts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, text = object(), ""
-        for batch in batches:
+        for batch in small(batches):
             for row in batch.to_pylist():
                 if row["conv_id"] != conv:
                     conv, text = row["conv_id"], ""
@@ -142,7 +142,7 @@ def read_back(rows: DataFrame) -> DataFrame:
             turns, all_turns, chars, loss, formatted, examples, tail = state
             return [(conv, turns, all_turns.hexdigest(), chars, loss.hexdigest(), formatted + tail, examples)]
 
-        for batch in batches:
+        for batch in small(batches):
             done, last = [], batch.schema.field(0).type
             for c, is_example, before, text, start, end in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "is_example", "context_chars", "new_text", "loss_start", "loss_end")), strict=True):
                 if state is None or c != conv:

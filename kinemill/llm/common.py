@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that one numpy pass works on; bounds the working memory of a Python worker.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
+#: Rows that are turned into Python objects at once.
+PART_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +52,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, without copies; what the allocators keep is given back after each batch."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        del batch
+        _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` characters; a longer text is a range of its own."""
     lo = size = 0

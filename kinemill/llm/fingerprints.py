@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_hashes, shuffle_partitions, slices
+from .common import chunk_hashes, shuffle_partitions, slices, small
 
 S_MER, WINDOW = 8, 16
 K_MER = S_MER + WINDOW - 1
@@ -144,7 +144,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the last row so far: its next one isn't known yet
-        for batch in batches:
+        for batch in small(batches):
             cols = [batch.column(k).to_pylist() for k in range(4)]
             for a, b in slices(cols[1]):
                 rows = held + list(zip(*(c[a:b] for c in cols), strict=True))

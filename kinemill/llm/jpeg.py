@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts_of
+from .common import slices, small, texts_of
 
 UNIT = 192
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -379,7 +379,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch, "t")
             for a, b in slices(texts):
                 media = []
@@ -396,7 +396,7 @@ def tensors(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     kind = media.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for i in range(batch.num_rows):
                 data = batch.column("media")[i].as_py()
                 rgb = None if data is None else decode(data)
@@ -412,7 +412,7 @@ def read_texts(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for data in batch.column("media").to_pylist():
                 height, width, parts, quant, comment = coefficients(data)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, slices, texts_of
+from .common import joined, slices, small, texts_of
 
 UNDETERMINED = "und"
 DIMENSIONS = 2048
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Hierarchy, keep: list[str], text_col: str =
     """The columns ``keep`` of every row, with lang_pred and score; no shuffle. The model is a few weights a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch, "__text")
             for a, b in slices(texts):
                 langs, scores = model.predict(texts[a:b])

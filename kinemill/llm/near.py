@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_hashes, ensure_checkpoint_dir, joined, scratch_path, shuffle_partitions, slices, texts_of, words_of
+from .common import chunk_hashes, ensure_checkpoint_dir, joined, scratch_path, shuffle_partitions, slices, small, texts_of, words_of
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 24, 8
@@ -191,7 +191,7 @@ def _gram_table(docs: DataFrame, id_col: str, text_col: str, trees: int, prefix:
     """(id, doc, node, n_grams, buckets) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch, "t")
             for a, b in slices(texts):
                 sets, sizes = gram_sets(texts[a:b], gram)
@@ -211,7 +211,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: s
     """(node, grams, buckets) of the wanted (doc, node) pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, node = texts_of(batch, "t"), batch.column("node").to_numpy()
             for a, b in slices(texts):
                 sets, sizes = gram_sets(texts[a:b], gram)
@@ -244,7 +244,7 @@ def _links(work: DataFrame, threshold: float) -> DataFrame:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["node", "links", "least"])
 
-        for batch in batches:
+        for batch in small(batches):
             rows: list[tuple] = []
             cols = [batch.column(k).to_numpy().tolist() for k in ("bucket", "i", "j", "node", "side")]
             lists = []

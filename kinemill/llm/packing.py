@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import offsets, slices, texts_of
+from .common import offsets, slices, small, texts_of
 from .word_bpe import word_bpe
 
 
@@ -135,7 +135,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
             held = {d: held[d] for d in {i[0] for i in items}}
             size = sum(i[2] for i in items)
 
-        for batch in batches:
+        for batch in small(batches):
             texts, keys, id_type = texts_of(batch, "t"), batch.column("i").to_pylist(), batch.column("i").type
             for a, b in slices(texts):
                 ids, sizes = bpe.encode(texts[a:b])

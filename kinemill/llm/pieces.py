@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ChunkTable, gather, joined, offsets, slices, sums, texts_of
+from .common import ChunkTable, gather, joined, offsets, slices, small, sums, texts_of
 from .merges import PairTable, merge_rounds
 
 MARK = "▁"
@@ -125,7 +125,7 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, columns: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch, "t")
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column("i").slice(a, b - a), *fill(coder, *coder.encode(texts[a:b]))], names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_hashes, joined, scratch_path, slices, texts_of, words_of
+from .common import chunk_hashes, joined, scratch_path, slices, small, texts_of, words_of
 
 LEAST_WORDS = 20
 LONG_SENTENCE = 40
@@ -127,7 +127,7 @@ def span_hashes(docs: DataFrame, id_col: str, text_col: str, least_words: int, l
     """(hash, doc): each run's hash once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, keys = texts_of(batch, "t"), batch.column("k").to_numpy(zero_copy_only=False)
             for a, b in slices(texts):
                 doc, h, _ = Sentences(texts[a:b], least_words, long_sentence).distinct()
@@ -153,7 +153,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             at = names.index(text_col)
             known = batch.column(at)
             texts = [t or "" for t in known.to_pylist()]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ChunkTable, joined, slices, sums, texts_of, words_of
+from .common import ChunkTable, joined, slices, small, sums, texts_of, words_of
 
 MARK = "▁"
 
@@ -111,7 +111,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch, "t")
             parts = [count(texts[a:b]) for a, b in slices(texts)]
             words, tokens = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -25,11 +25,9 @@ _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 class WordBpe:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        model = json.loads(Path(path).read_text())["model"]
+        self.path = path
+        whole = json.loads(Path(path).read_text())
+        self.special, model = [t["content"] for t in whole["added_tokens"]], whole["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         column = lambda f: np.fromiter((vocab[f(a, b)] for a, b in pairs), np.int64, len(pairs))
@@ -39,6 +37,13 @@ class WordBpe:
         self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int32)
         self.table = ChunkTable(self._chunks, np.uint16 if len(vocab) <= 1 << 16 else np.uint32)
 
+    @cached_property
+    def tokenizer(self):
+        """The library itself: only for odd texts."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, found), np.int32, len(found))
