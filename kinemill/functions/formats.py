@@ -22,8 +22,8 @@ def strict_float(s: Column) -> Column:
 
 
 def six(x: Column) -> Column:
-    """Six decimals, rounded half to even."""
-    return F.when(x.isNotNull(), F.format_string("%.6f", F.bround(x.cast("double"), 6)))
+    """Six decimals, ties away from zero."""
+    return F.when(x.isNotNull(), F.format_string("%.6f", x.cast("double")))
 
 
 def yolo_kind(tokens: Column) -> Column:

@@ -17,7 +17,7 @@ def _box_line():
     return T.yolo_detection_line(F.col("ord"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(640), F.lit(480), F.when(F.col("is_predicted"), 0.5))
 
 
-@query(f"WITH {V.BOXES} SELECT bbox_id, printf('%d %.6f %.6f %.6f %.6f', ord, (x1 + x2) / 2 / 640, (y1 + y2) / 2 / 480, (x2 - x1) / 640, (y2 - y1) / 480) || CASE WHEN is_predicted THEN ' 0.500000' ELSE '' END AS line FROM bx")
+@query(f"WITH {V.BOXES}, n AS (SELECT bbox_id, ord, is_predicted, i, unnest([1, 2, 3, 4]) AS k, unnest([(x1 + x2) / 2 / 640, (y1 + y2) / 2 / 480, (x2 - x1) / 640, (y2 - y1) / 480]) AS v FROM (SELECT *, row_number() OVER () AS i FROM bx)) SELECT bbox_id, ord || ' ' || string_agg(printf('%.6f', CAST(round(CAST(v AS DECIMAL(18, 12)), 6) AS DOUBLE)), ' ' ORDER BY k) || CASE WHEN is_predicted THEN ' 0.500000' ELSE '' END AS line FROM n GROUP BY bbox_id, ord, is_predicted, i")
 def f23_yolo_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.boxes(spark, sf_dir).select("bbox_id", _box_line().alias("line"))
 
