@@ -32,8 +32,10 @@ class InstanceMatcher:
         if self.method == "identity":
             return F.coalesce(F.col("a_track_id") == F.col("b_track_id"), F.lit(False))
         if self.method == "iou":
-            box, other = P.bounding_box(a), P.bounding_box(b)
-            return F.coalesce((P.iou(box, other) > 0) & (P.iou(box, other) >= self.threshold), F.lit(False))
+            a, b = F.col("a_box"), F.col("b_box")
+            # plain comparisons first: boxes that don't overlap are most pairs
+            apart = (a["min_x"] >= b["max_x"]) | (b["min_x"] >= a["max_x"]) | (a["min_y"] >= b["max_y"]) | (b["min_y"] >= a["max_y"])
+            return F.coalesce(~apart & (P.iou(a, b) >= self.threshold), F.lit(False))
         raise ValueError(f"unknown method: {self.method}")
 
     def score(self) -> Column:
@@ -41,7 +43,7 @@ class InstanceMatcher:
         if self.method == "spatial":
             return P.nearness(a, b)
         if self.method == "iou":
-            return F.coalesce(P.iou(P.bounding_box(a), P.bounding_box(b)), F.lit(0.0))
+            return F.coalesce(P.iou(F.col("a_box"), F.col("b_box")), F.lit(0.0))
         return F.lit(1.0)
 
 
@@ -57,8 +59,11 @@ def _sided(df: DataFrame, side: str, keys: list[str]) -> DataFrame:
 def instance_matches(a: DataFrame, b: DataFrame, keys: list[str], matcher: InstanceMatcher = SPATIAL) -> DataFrame:
     """All matching pairs of each frame (``keys``) with ``score``; not one to one.
 
-    By identity the track is part of the join key, so a frame with many instances has no more pairs than matches.
+    By identity the track is part of the join key, so a frame with many instances has no more pairs than matches. By
+    overlap each instance's box is made once, before it meets others.
     """
+    if matcher.method == "iou":
+        a, b = (t.withColumn("box", P.bounding_box("points")) for t in (a, b))
     left, right = _sided(a, "a", keys), _sided(b, "b", keys)
     on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     if matcher.method == "identity":
