@@ -23,7 +23,7 @@ def strict_float(s: Column) -> Column:
 
 def six(x: Column) -> Column:
     """Six decimals, ties away from zero."""
-    return F.when(x.isNotNull(), F.format_string("%.6f", x.cast("double")))
+    return x.cast("double").try_cast("decimal(24,6)").cast("string")
 
 
 def yolo_kind(tokens: Column) -> Column:
@@ -32,18 +32,18 @@ def yolo_kind(tokens: Column) -> Column:
     return F.when(n < 5, F.lit(None)).when(n == 5, "detection").when(n == 6, "detection_conf").when((n - 5) % 3 == 0, "pose").when(n % 2 == 1, "segmentation").otherwise("pose")
 
 
-def yolo_box(tokens: Column, width: Column, height: Column) -> Column:
-    """Pixel box of a line; NULL if a number of it can't be read."""
-    v = [strict_float(F.get(tokens, i)) for i in range(1, 5)]
+def yolo_box(numbers: Column, width: Column, height: Column) -> Column:
+    """Pixel box of a line's numbers (after the class); NULL if one of them is."""
+    v = [F.get(numbers, F.lit(i)) for i in range(4)]
     x, y, w, h = v[0] * width, v[1] * height, v[2] * width, v[3] * height
     return F.when((x + y + w + h).isNotNull(), F.struct((x - w / 2).alias("x1"), (y - h / 2).alias("y1"), (x + w / 2).alias("x2"), (y + h / 2).alias("y2")))
 
 
-def yolo_points(tokens: Column, width: Column, height: Column) -> Column:
+def yolo_points(tokens: Column, numbers: Column, width: Column, height: Column) -> Column:
     """Keypoints of a pose line; those of visibility 0 are unknown."""
 
     def point(i: Column) -> Column:
-        x, y, v = strict_float(F.get(tokens, 5 + 3 * i)), strict_float(F.get(tokens, 6 + 3 * i)), strict_int(F.get(tokens, 7 + 3 * i))
+        x, y, v = F.get(numbers, 4 + 3 * i), F.get(numbers, 5 + 3 * i), strict_int(F.get(tokens, 7 + 3 * i))
         return F.struct(F.when(v > 0, x * width).alias("x"), F.when(v > 0, y * height).alias("y"), (v > 0).alias("visible"), F.lit(False).alias("complete"), F.lit(None).cast("double").alias("score"))
 
     n = ((F.size(tokens) - 5) / 3).cast("int")

@@ -18,19 +18,20 @@ def yolo_lines(lines: DataFrame, width: Column, height: Column, n_keypoints: int
     Comments and lines that can't be read are left out. Names of classes default to "".
     """
     tokens = F.split(F.trim(F.regexp_replace("value", r"[\r\n]", "")), r"\s+")
-    # split once: a generator's output is never merged into the many expressions that read it
-    rows = lines.where(~F.trim("value").startswith("#") & (F.trim("value") != "")).withColumn("t", F.explode(F.array(tokens))).withColumn("kind", T.yolo_kind(F.col("t")))
-    t = F.col("t")
+    # split and read once: a generator's output is never merged into the many expressions that use it
+    rows = lines.where(~F.trim("value").startswith("#") & (F.trim("value") != "")).withColumn("t", F.explode(F.array(tokens)))
+    rows = rows.withColumn("__v", F.explode(F.array(F.transform(F.slice("t", 2, 1 << 20), T.strict_float)))).withColumn("kind", T.yolo_kind(F.col("t")))
+    t, v = F.col("t"), F.col("__v")
     names_map = F.create_map(*[F.lit(x) for k, v in (names or {-1: ""}).items() for x in (k, v)])
-    score = T.strict_float(F.get(t, F.lit(5)))
-    corner = lambda i: F.array(T.strict_float(F.get(t, 1 + 2 * i)) * width, T.strict_float(F.get(t, 2 + 2 * i)) * height)
+    score = F.get(v, F.lit(4))
+    corner = lambda i: F.array(F.get(v, 2 * i) * width, F.get(v, 1 + 2 * i) * height)
     polygon = F.transform(F.sequence(F.lit(0), ((F.size(t) - 3) / 2).cast("int")), corner)
-    points = T.yolo_points(t, width, height)
-    numbers_ok = F.forall(F.slice(t, 2, 1 << 20), lambda s: T.strict_float(s).isNotNull())
+    points = T.yolo_points(t, v, width, height)
+    numbers_ok = ~F.exists(v, lambda x: x.isNull())
     is_box = F.col("kind").isin("detection", "detection_conf")
     out = rows.select(
         *[c for c in lines.columns if c != "value"], "kind", T.strict_int(t[0]).alias("class_id"), F.coalesce(F.try_element_at(names_map, T.strict_int(t[0]).cast("int")), F.lit("")).alias("category"),
-        F.when(is_box, T.yolo_box(t, width, height)).alias("box"), F.when(F.col("kind") == "segmentation", polygon).alias("polygon"), F.when(F.col("kind") == "pose", points).alias("points"),
+        F.when(is_box, T.yolo_box(v, width, height)).alias("box"), F.when(F.col("kind") == "segmentation", polygon).alias("polygon"), F.when(F.col("kind") == "pose", points).alias("points"),
         F.when(F.col("kind") == "detection_conf", score).alias("score"), (F.col("kind") == "detection_conf").alias("is_predicted"), numbers_ok.alias("__ok"), F.size(t).alias("__n"),
     )
     whole = (F.col("kind") != "pose") | (F.col("__n") == 5 + 3 * n_keypoints)
