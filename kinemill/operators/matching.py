@@ -133,16 +133,35 @@ def unused_predictions(instances: DataFrame, key: str = "frame_id") -> DataFrame
     return out.where(F.when(F.col("__tracked"), F.col("track_id").isNull()).otherwise(F.col("__source").isNull())).drop("__tracked", "__source")
 
 
-def skeleton_matches(a: DataFrame, b: DataFrame, method: str = "structure", least: float = 0.5) -> DataFrame:
-    """Pairs of skeletons. Keys join by equality; names meet through a shared node, so disjoint skeletons never meet."""
-    keyed = lambda d, s: _sided(d.withColumn("key", S.structure_key(F.col("nodes"), F.col("edges"), F.col("symmetries"), ordered=method == "exact")), s, [])
-    left, right = keyed(a, "a"), keyed(b, "b")
+def skeleton_classes(skeletons: DataFrame, method: str = "structure") -> tuple[DataFrame, DataFrame]:
+    """(members, classes): ``skeletons`` with ``class_id``, and one row (key, class_id, nodes) a class.
+
+    Skeletons that ``method`` cannot tell apart are one class (the same key, or the same set of names), called by its
+    least skeleton_id.
+    """
+    nodes = F.col("nodes")
+    by_key = method in ("exact", "structure")
+    key = S.structure_key(nodes, F.col("edges"), F.col("symmetries"), ordered=method == "exact") if by_key else F.to_json(F.array_sort(F.array_distinct(nodes)))
+    keyed = skeletons.withColumn("key", key)
+    classes = keyed.groupBy("key").agg(F.min("skeleton_id").alias("class_id"), F.min_by("nodes", "skeleton_id").alias("nodes"))
+    return keyed.join(classes.select("key", "class_id"), "key"), classes
+
+
+def class_pairs(a: DataFrame, b: DataFrame, method: str = "structure", least: float = 0.5) -> DataFrame:
+    """Pairs of classes (a_class_id, b_class_id, a_nodes, b_nodes). Names meet through a shared node, so disjoint classes never meet."""
+    left, right = _sided(a, "a", []), _sided(b, "b", [])
     if method in ("exact", "structure"):
-        return left.join(right, F.col("a_key") == F.col("b_key"))
+        return left.join(right, F.col("a_key") == F.col("b_key")).drop("a_key", "b_key")
     shared = left.withColumn("__n", F.explode("a_nodes")).join(right.withColumn("__m", F.explode("b_nodes")), F.col("__n") == F.col("__m"))
-    met = shared.select("a_skeleton_id", "b_skeleton_id").distinct()
-    pairs = met.join(left, "a_skeleton_id").join(right, "b_skeleton_id")
-    return pairs.where(S.matches(F.col("a_nodes"), F.col("b_nodes"), method, least))
+    met = shared.select("a_class_id", "b_class_id", "a_nodes", "b_nodes").distinct()
+    return met.where(S.matches(F.col("a_nodes"), F.col("b_nodes"), method, least))
+
+
+def skeleton_matches(a: DataFrame, b: DataFrame, method: str = "structure", least: float = 0.5) -> DataFrame:
+    """Pairs of skeletons: the pairs of their classes, spelt out. ``class_pairs`` and the members say the same in fewer rows."""
+    (left, a_classes), (right, b_classes) = skeleton_classes(a, method), skeleton_classes(b, method)
+    met = class_pairs(a_classes, b_classes, method, least).select("a_class_id", "b_class_id")
+    return met.join(_sided(left, "a", []), "a_class_id").join(_sided(right, "b", []), "b_class_id")
 
 
 def first_match(incoming: DataFrame, base: DataFrame, on: str, id_col: str, ord_: str) -> DataFrame:
@@ -170,12 +189,6 @@ def leaf_matches(incoming: DataFrame, candidates: DataFrame) -> DataFrame:
     return hits.groupBy("in_id").agg(F.min("depth").alias("depth"), F.min_by("cand_id", "depth").alias("cand_id"))
 
 
-def shapes_agree(a: str, b: str) -> Column:
-    """False if frames, height or width are known and differ; NULL if one isn't known; channels don't count."""
-    same = [F.col(f"{a}_{c}") == F.col(f"{b}_{c}") for c in ("n_frames", "height", "width")]
-    return same[0] & same[1] & same[2]
-
-
 #: Pairwise video matchers over a_* and b_* columns.
 VIDEO_MATCHERS: dict[str, Callable[[], Column]] = {
     "path": lambda: paths.sanitize(F.get("a_filenames", F.lit(0))) == paths.sanitize(F.get("b_filenames", F.lit(0))),
@@ -200,15 +213,44 @@ def video_map(incoming: DataFrame, base: DataFrame, method: str = "auto") -> Dat
     if pairs is not None:
         hit = pairs.where(VIDEO_MATCHERS[method]()).groupBy(F.col("b_video_id").alias("video_id")).agg(F.min("a_video_id").alias("base_id"))
         return ids.join(hit, "video_id", "left").withColumn("stage", F.when(F.col("base_id").isNotNull(), method))
-    path = lambda s: paths.sanitize(F.get(f"{s}_filenames", F.lit(0)))
-    keyed = lambda d, s: _sided(d, s, []).withColumn(f"{s}_path", path(s)).withColumn(f"{s}_parts", paths.leaf_suffixes(path(s)))
-    left, right = keyed(incoming, "b"), keyed(base, "a")
-    suffix = lambda d, s: d.withColumn("__s", F.explode(f"{s}_parts")).withColumn("depth", F.col("__s.depth")).withColumn("suffix", F.col("__s.suffix")).drop("__s", f"{s}_parts")
-    met = suffix(left, "b").join(suffix(right, "a"), ["depth", "suffix"])
-    other_crop = (F.col("a_path") == F.col("b_path")) & ~F.col("a_crop").eqNullSafe(F.col("b_crop"))
-    viable = met.where(F.coalesce(shapes_agree("a", "b"), F.lit(True)) & ~F.coalesce(other_crop, F.lit(False)))
-    whole = viable.where("a_path = b_path").groupBy("b_video_id").agg(F.min("a_video_id").alias("same"))
-    alone = viable.groupBy("b_video_id", "depth").agg(F.countDistinct("a_video_id").alias("n"), F.min("a_video_id").alias("a")).where("n = 1")
-    leaf = alone.groupBy("b_video_id").agg(F.min_by("a", "depth").alias("leaf"))
-    out = ids.join(whole, F.col("video_id") == F.col("b_video_id"), "left").drop("b_video_id").join(leaf, F.col("video_id") == F.col("b_video_id"), "left")
+    return _cascade(incoming, base)
+
+
+#: What viable candidates agree on, as far as it is known.
+_SHAPE = ("n_frames", "height", "width")
+
+
+def _by_shape(videos: DataFrame, side: str) -> DataFrame:
+    """videos, once for each ``shape`` key: one of an incoming video's keys is among a base video's if their shapes may agree, else none.
+
+    A base video's part is ``n`` if unknown, else its value and ``*``; an incoming one's is ``n``, and its value or, if
+    unknown, ``*``. So candidates are counted by equality though a shape may be unknown.
+    """
+    for c in _SHAPE:
+        known = F.col(c).cast("string")
+        parts = F.when(known.isNull(), F.array(F.lit("n"))).otherwise(F.array(F.lit("*"), known)) if side == "a" else F.array(F.lit("n"), F.coalesce(known, F.lit("*")))
+        videos = videos.withColumn(f"__{c}", F.explode(parts))
+    return videos.withColumn("shape", F.concat_ws("|", *(f"__{c}" for c in _SHAPE))).drop(*(f"__{c}" for c in _SHAPE))
+
+
+def _cascade(incoming: DataFrame, base: DataFrame) -> DataFrame:
+    """``auto``, without pairs: candidates are counted for each key, and where one is left the xor of their ids is its id."""
+    path = paths.sanitize(F.get("filenames", F.lit(0)))
+    plain = lambda d, s: _by_shape(d.select("video_id", *_SHAPE, path.alias("path"), F.to_json(F.struct("crop")).alias("crop")), s).drop(*_SHAPE)
+    spread = lambda d: d.withColumn("__s", F.explode(paths.leaf_suffixes(F.col("path")))).select("video_id", "shape", "__s.depth", "__s.suffix")
+    left, right = plain(incoming, "b"), plain(base, "a")
+    n, x = F.count("*").alias("n"), F.bit_xor("video_id").alias("x")
+
+    def met(rows: DataFrame, others: DataFrame, keys: list[str], out: list[str]) -> DataFrame:
+        per = others.groupBy(*keys, "shape").agg(n, x, F.min("video_id").alias("least"))
+        return rows.join(per, [*keys, "shape"]).groupBy(*out).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.min("least").alias("least"))
+
+    there = met(left, right, ["path"], ["video_id"])
+    whole = met(left, right, ["path", "crop"], ["video_id"]).select("video_id", F.col("n").alias("own_n"), F.col("x").alias("own_x"), F.col("least").alias("same"))
+    # same file, another crop
+    other_crop = there.join(whole, "video_id", "left").select("video_id", "same", (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("out_n"), F.col("x").bitwiseXOR(F.coalesce("own_x", F.lit(0))).alias("out_x"))
+    by_depth = met(spread(left), spread(right), ["depth", "suffix"], ["video_id", "depth"]).join(other_crop.drop("same"), "video_id", "left")
+    alone = by_depth.where(F.col("n") - F.coalesce("out_n", F.lit(0)) == 1).select("video_id", "depth", F.col("x").bitwiseXOR(F.coalesce("out_x", F.lit(0))).alias("a"))
+    leaf = alone.groupBy("video_id").agg(F.min_by("a", "depth").alias("leaf"))
+    out = incoming.select("video_id").join(other_crop.select("video_id", "same"), "video_id", "left").join(leaf, "video_id", "left")
     return out.select("video_id", F.coalesce("same", "leaf").alias("base_id"), F.when(F.col("same").isNotNull(), "path").when(F.col("leaf").isNotNull(), "leaf").alias("stage"))

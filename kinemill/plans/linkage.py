@@ -11,7 +11,7 @@ from ..functions import skeletons as S
 from ..operators import matching, merge
 from . import pose_view as V
 from .poses import big, r6
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 BOTH = f"WITH {V.sql('event_id % 2 = 0', '_a')}, {V.sql('event_id % 2 = 1', '_b')}"
 FRAME = ["video_id", "frame_idx"]
@@ -104,6 +104,37 @@ def j09_skeleton_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.skeleton_matches(sk, sk, "subset").select(F.col("a_skeleton_id").alias("self_id"), F.col("b_skeleton_id").alias("other_id"))
 
 
+def _classes(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """All skeletons with their class (a row with skeleton_id), and the pairs of classes (a row with other_id)."""
+    members, classes = matching.skeleton_classes(V.skeletons(spark, sf_dir), method)
+    pairs = matching.class_pairs(classes, classes, method, 0.5)
+    sim = S.similarity(F.col("a_nodes"), F.col("b_nodes"))
+    none = F.lit(None)
+    own = members.select("class_id", "skeleton_id", none.cast("bigint").alias("other_id"), none.cast("bigint").alias("n_common"), none.cast("double").alias("jaccard"), none.cast("double").alias("dice"))
+    return own.unionByName(pairs.select(F.col("a_class_id").alias("class_id"), none.cast("bigint").alias("skeleton_id"), F.col("b_class_id").alias("other_id"), big(sim["n_common"], "n_common"), r6(sim["jaccard"], "jaccard"), r6(sim["dice"], "dice")))
+
+
+def _classes_sql(where: str) -> str:
+    common = "len(list_intersect(a.nodes, b.nodes))"
+    return f"""WITH {V.sql()}, {V.SKELETONS}, c AS (SELECT nodes, min(skeleton_id) AS class_id FROM sk GROUP BY 1) SELECT class_id, skeleton_id, NULL AS other_id, NULL AS n_common, NULL AS jaccard, NULL AS dice FROM sk JOIN c USING (nodes)
+UNION ALL SELECT a.class_id, NULL, b.class_id, {common}, round({common} / len(list_distinct(list_concat(a.nodes, b.nodes))), 6), round(2 * {common} / (len(a.nodes) + len(b.nodes)), 6) FROM c a, c b WHERE {where.format(common=common)}"""
+
+
+@query(_classes_sql("{common} / len(list_distinct(list_concat(a.nodes, b.nodes))) >= 0.5"))
+def j09_skeleton_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classes(spark, sf_dir, "overlap")
+
+
+@query(_classes_sql("{common} = len(a.nodes)"))
+def j09_skeleton_subset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classes(spark, sf_dir, "subset")
+
+
+@query(_classes_sql("a.nodes = b.nodes"))
+def j10_skeleton_structure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classes(spark, sf_dir, "structure")
+
+
 @query("""WITH b AS (SELECT c_nationkey AS name, min(c_custkey) AS base_id FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey < 12 GROUP BY 1), i AS (SELECT s_suppkey AS track_id, s_nationkey AS name, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS canon FROM supplier)
 SELECT track_id, coalesce(base_id, canon) AS base_id, base_id IS NULL AS is_new FROM i LEFT JOIN b USING (name)""")
 def j12_track_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +162,19 @@ def j13_video_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v AS (SELECT page_id, page_id // 2 AS pair, CASE WHEN page_id % 2 = 0 THEN '/data/' ELSE 'D:\\mnt\\' END AS root FROM pages WHERE page_id < 200)
 SELECT b.page_id AS video_id, CASE WHEN b.page_id % 4 = 1 THEN a.page_id END AS base_id, CASE WHEN b.page_id % 4 = 1 THEN 'leaf' END AS stage FROM v b JOIN v a ON a.pair = b.pair AND a.page_id % 2 = 0 WHERE b.page_id % 2 = 1""")
 def j13_video_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(V.table(spark, sf_dir, "pages").where("page_id < 200"))
+
+
+@query(ORACLE_SQL["j13_video_cascade"].replace(" WHERE page_id < 200", ""))
+def j13_video_cascade_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(V.table(spark, sf_dir, "pages"))
+
+
+def _cascade(pages: DataFrame) -> DataFrame:
     """Pairs of videos under different roots; of every second pair the heights differ, so it can't match."""
     pair = F.floor(F.col("page_id") / 2).cast("string")
     name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/data/s"), pair, F.lit("/v.mp4"))).otherwise(F.concat(F.lit("D:\\mnt\\s"), pair, F.lit("\\v.mp4")))
-    v = V.table(spark, sf_dir, "pages").where("page_id < 200").select(F.col("page_id").alias("video_id"), F.array(name).alias("filenames"), F.lit(10).alias("n_frames"), F.when(F.col("page_id") % 4 == 3, 9).otherwise(8).alias("height"), F.lit(8).alias("width"), F.lit(None).cast("array<int>").alias("crop"))
+    v = pages.select(F.col("page_id").alias("video_id"), F.array(name).alias("filenames"), F.lit(10).alias("n_frames"), F.when(F.col("page_id") % 4 == 3, 9).otherwise(8).alias("height"), F.lit(8).alias("width"), F.lit(None).cast("array<int>").alias("crop"))
     return matching.video_map(v.where("video_id % 2 = 1"), v.where("video_id % 2 = 0"))
 
 
