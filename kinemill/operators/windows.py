@@ -35,15 +35,29 @@ def segments(points: DataFrame, key: list[str]) -> DataFrame:
     return out.where("x is not null and y is not null and x2 is not null and y2 is not null")
 
 
+def _ranged(rows: DataFrame, order: str, buckets: int) -> DataFrame:
+    """rows with ``__b``, the number of their range of ``order``; about as many rows in each."""
+    cuts = sorted({*rows.select(F.col(order).cast("double").alias("v")).approxQuantile("v", [k / buckets for k in range(1, buckets)], 1 / (8 * buckets))})
+    grid = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    return rows.withColumn("__b", F.size(F.filter(grid, lambda c: c <= F.col(order).cast("double"))))
+
+
+def global_rank(rows: DataFrame, order: str, ties: list[str], name: str = "pos", buckets: int = 64) -> DataFrame:
+    """rows numbered from 0 over the whole table in ascending ``order``, then ``ties``, in two phases as ``running_offsets``."""
+    ranged = _ranged(rows, order, buckets)
+    totals = ranged.groupBy("__b").agg(F.count("*").alias("__t"))
+    before = totals.withColumn("__base", F.sum("__t").over(Window.partitionBy(F.lit(0)).orderBy("__b")) - F.col("__t")).select("__b", "__base")
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy(order, *ties))
+    return ranged.join(F.broadcast(before), "__b").withColumn(name, (F.col("__base") + rank - 1).cast("bigint")).drop("__b", "__base")
+
+
 def running_offsets(rows: DataFrame, order: str, size: str, buckets: int = 64) -> DataFrame:
     """rows with ``start`` and ``end``: running sums of ``size`` in ascending ``order`` over the whole table.
 
     Two phases, so that no task gets the whole table: sums within ranges of ``order``, then the ranges' totals (one
     row a range) added on.
     """
-    cuts = sorted({*rows.select(F.col(order).cast("double").alias("v")).approxQuantile("v", [k / buckets for k in range(1, buckets)], 1 / (8 * buckets))})
-    grid = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    ranged = rows.withColumn("__b", F.size(F.filter(grid, lambda c: c <= F.col(order).cast("double"))))
+    ranged = _ranged(rows, order, buckets)
     totals = ranged.groupBy("__b").agg(F.sum(size).alias("__t"))
     before = totals.withColumn("__base", F.sum("__t").over(Window.partitionBy(F.lit(0)).orderBy("__b")) - F.col("__t")).select("__b", "__base")
     w = Window.partitionBy("__b").orderBy(order)
