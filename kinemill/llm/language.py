@@ -152,19 +152,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, per_language: int = 600, max_languages: int = 200, text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
-    """Fit on the labelled rows of ``docs``: of each language the ``per_language`` rows with the smallest hashes.
+    """Fit on the labelled rows of ``docs``: of each language the ``per_language`` distinct texts with the smallest hashes.
 
     The driver gets at most per_language * max_languages texts; more languages than that are an error.
     """
     labelled = docs.select(docs[lang_col].alias("l"), docs[text_col].alias("t")).where("l is not null and t is not null")
-    sizes = {r["l"]: r["count"] for r in labelled.groupBy("l").count().limit(max_languages + 1).collect()}
+    hashed = labelled.withColumn("h", F.xxhash64("t", "l"))
+    # Texts are counted once, as they train: copies share a hash, so they would fall under the cut or over it together.
+    sizes = {r["l"]: r["count"] for r in hashed.select("l", "h").distinct().groupBy("l").count().limit(max_languages + 1).collect()}
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages are labelled")
     if not sizes:
         return Hierarchy([])
     # A cut in the hashes leaves a little more than the bound of each language; only those are ranked.
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, (2 * per_language + 20) / n))])
-    near = labelled.withColumn("h", F.xxhash64("t", "l")).where(F.pmod("h", F.lit(1 << 20)) / (1 << 20) < share[F.col("l")])
+    near = hashed.where(F.pmod("h", F.lit(1 << 20)) / (1 << 20) < share[F.col("l")])
     once = near.groupBy("l", "h").agg(F.min("t").alias("t"))
     ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language)
     sample = sorted((r["l"], r["h"], r["t"]) for r in ranked.collect())

@@ -287,6 +287,16 @@ def test_undetermined(spark):
     assert d.where(held_out(F.lit(None))).count() == 0
 
 
+def test_copies_do_not_thin_the_training_texts(spark, monkeypatch):
+    from kinemill.llm.language import Hierarchy
+
+    seen = []
+    monkeypatch.setattr(Hierarchy, "fit", lambda texts, langs: seen.extend(zip(langs, texts, strict=True)))
+    rows = [("en", "the same text")] * 20_000 + [("en", f"text number {k}") for k in range(1000)] + [("fr", f"texte {k % 3}") for k in range(9000)]
+    train(spark.createDataFrame(rows, "lang string, text string"))
+    assert Counter(k for k, _ in seen) == {"en": 600, "fr": 3} and len(set(seen)) == len(seen)
+
+
 def test_chat_round_trip(spark):
     says = r"\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", says), (-7, 1, "assistant", says), (1, 0, None, "a"), (1, 1, "as:#sist\nant", None), (1, 2, "assistant", "##"), (1, 3, "assistant", "### x: </turn>\n"), (1, 4, "user", "tail\\"), (None, 0, "user", "x"), (None, 0, "user", "x"), (2, None, "assistant", "é" * 2000)]
