@@ -15,13 +15,9 @@ from kinemill.llm.near import one_of_each
 from kinemill.llm.packing import pack_documents
 from kinemill.llm.spans import dedup_spans
 
-#: Below this score no language is told; clear text scores far higher.
-LEAST_SCORE = 0.05
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a null lang becomes the predicted one."""
-    found = identify(docs, train(docs), docs.columns).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    """Documents whose language can be told (their text is like texts of a learned one); a null lang becomes the predicted one."""
+    found = identify(docs, train(docs), docs.columns, reject=True).where(F.col("lang_pred") != UNDETERMINED)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

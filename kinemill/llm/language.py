@@ -27,6 +27,9 @@ from .common import joined, slices, small, texts_of
 UNDETERMINED = "und"
 DIMENSIONS = 2048
 _LETTER = re.compile(r"[^\W\d_]")
+#: Of a language with fewer texts no bound is learned.
+LEAST_TEXTS = 20
+_OTHERS = bytes(b for b in range(128) if not chr(b).isalpha())
 #: ASCII that isn't a letter becomes a space.
 _LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
@@ -51,6 +54,16 @@ def profiles(texts: list[str]) -> np.ndarray:
     return out
 
 
+def magnitudes(texts: list[str]) -> np.ndarray:
+    """Of each text, the number of binary digits of its count of letter bytes, 15 at most."""
+    return np.array([min(15, len(t.encode("utf-8", "replace").translate(None, _OTHERS)).bit_length()) for t in texts], int)
+
+
+def likelihood(texts: list[str], logs: np.ndarray) -> np.ndarray:
+    """Mean log probability of each text's n-grams; its expectation does not depend on the length."""
+    return np.concatenate([np.square(profiles(texts[a:b]), dtype=np.float64) @ logs for a, b in slices(texts)])
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) of an L2 support vector machine by dual coordinate descent; y is 1 or -1."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
@@ -91,11 +104,15 @@ class Hierarchy:
     families: list[list[int]] = field(default_factory=list)
     family_weights: np.ndarray | None = None
     pairs: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
+    #: Of each language, log frequencies of n-grams and the least likelihood of its texts by magnitude.
+    logs: np.ndarray | None = None
+    bounds: np.ndarray | None = None
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], alike: float = 0.93) -> Hierarchy:
         languages = sorted(set(langs))
         model = cls(languages)
+        model.calibrate([[t for t, v in zip(texts, langs, strict=True) if v == k] for k in languages])
         if len(languages) < 2:
             model.families = [[i] for i in range(len(languages))]
             return model
@@ -111,8 +128,36 @@ class Hierarchy:
                 model.pairs[a, b] = linear_svm(x[at], np.where(label[at] == a, 1.0, -1.0))
         return model
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text."""
+    def calibrate(self, own: list[list[str]], seed: int = 7) -> None:
+        """Bounds from each language's texts and cuts of them, half by half under the frequencies of the other half.
+
+        A bound is the least likelihood at a magnitude or any above, less a quarter of its distance to the median and
+        0.4 at least, so that text of the language stays at any length.
+        """
+        rng = np.random.default_rng(seed)
+        self.logs, self.bounds = np.zeros((DIMENSIONS, len(own))), np.full((len(own), 16), -np.inf)
+        frequencies = lambda t: np.log(sum(np.square(profiles(t[a:b]), dtype=np.float64).sum(0) for a, b in slices(t)) / len(t) + 1e-6)
+        for k, texts in enumerate(own):
+            texts = [t for t in texts if _LETTER.search(t)]
+            if len(texts) < LEAST_TEXTS:
+                continue
+            self.logs[:, k] = frequencies(texts)
+            found, sizes = [], []
+            for part, rest in ((texts[::2], texts[1::2]), (texts[1::2], texts[::2])):
+                cuts = [t[(at := int(rng.integers(len(t)))) : at + (2 << int(rng.integers(13)))] for t in part for _ in range(4)]
+                part = part + [t for t in cuts if _LETTER.search(t)]
+                found.append(likelihood(part, frequencies(rest)))
+                sizes.append(magnitudes(part))
+            value, size = np.concatenate(found), np.concatenate(sizes)
+            bound, told = np.inf, [m for m in range(16) if (size == m).sum() >= LEAST_TEXTS]
+            for m in told[::-1]:
+                at = value[size == m]
+                bound = min(bound, at.min() - max(0.4, (np.median(at) - at.min()) / 4))
+                # also for longer texts of magnitudes with too few; below the shortest magnitude nothing is told
+                self.bounds[k, m:][np.isneginf(self.bounds[k, m:])] = bound
+
+    def predict(self, texts: list[str], reject: bool = False) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text; if ``reject``, none of a text that is unlike all texts of its language."""
         known = np.array([bool(_LETTER.search(t)) for t in texts], bool)
         if not self.languages or not known.any():
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
@@ -140,6 +185,12 @@ class Hierarchy:
             if len(members) > 1:
                 score[rows] *= sure(least[np.arange(len(rows)), best] / (len(members) - 1))
         langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if reject:
+            # a text stays if it is like any learned language's; where no bound is known, only the predicted one's counts
+            bounds = self.bounds[:, magnitudes([texts[i] for i in at])].T
+            fits = np.square(x) @ self.logs >= bounds
+            told = fits[np.arange(len(at)), label] | (fits & np.isfinite(bounds)).any(1)
+            at, label, score = at[told], label[told], score[told]
         for i, k in zip(at.tolist(), label.tolist(), strict=True):
             langs[i] = self.languages[k]
         scores[at] = score
@@ -173,14 +224,17 @@ def train(docs: DataFrame, per_language: int = 600, max_languages: int = 200, te
     return Hierarchy.fit([t for _, _, t in sample], [k for k, _, _ in sample])
 
 
-def identify(docs: DataFrame, model: Hierarchy, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row, with lang_pred and score; no shuffle. The model is a few weights a language."""
+def identify(docs: DataFrame, model: Hierarchy, keep: list[str], text_col: str = "text", reject: bool = False) -> DataFrame:
+    """The columns ``keep`` of every row, with lang_pred and score; no shuffle. The model is a few weights a language.
+
+    With ``reject``, lang_pred is ``und`` for text that is unlike the texts of every learned language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = texts_of(batch, "__text")
             for a, b in slices(texts):
-                langs, scores = model.predict(texts[a:b])
+                langs, scores = model.predict(texts[a:b], reject)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(f"__k{i}") for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -297,6 +298,22 @@ def test_copies_do_not_thin_the_training_texts(spark, monkeypatch):
     assert Counter(k for k, _ in seen) == {"en": 600, "fr": 3} and len(set(seen)) == len(seen)
 
 
+def test_pipeline_rejects_what_is_no_learned_language(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    odd = [letters(n, "abcdefghijklmnopqrstuvwxyz   ") for n in (200, 400, 2000)] + [base64.b64encode(rng.randbytes(n)).decode() for n in (200, 400, 2000)]
+    odd += ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * n for n in (1, 9)]
+    whole = [r["text"] for r in d.where("lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    clean = [" ".join(t.split()[:n]) for t, n in zip(whole, [1, 2, 3, 5, 8, 13, 50, 200] * 5, strict=True)]
+    more = spark.createDataFrame([(800_000 + k, t, None, "s", len(t)) for k, t in enumerate(odd)] + [(900_000 + k, t, None, "s", len(t)) for k, t in enumerate(clean)], d.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, d.unionByName(more), DATA).select("doc_id").collect()}
+    assert not kept & set(range(800_000, 800_000 + len(odd)))
+    assert kept == {r["doc_id"] for r in d.select("doc_id").collect()} | {900_000 + k for k, t in enumerate(clean) if re.search(r"[^\W\d_]", t)}
+
+
 def test_chat_round_trip(spark):
     says = r"\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", says), (-7, 1, "assistant", says), (1, 0, None, "a"), (1, 1, "as:#sist\nant", None), (1, 2, "assistant", "##"), (1, 3, "assistant", "### x: </turn>\n"), (1, 4, "user", "tail\\"), (None, 0, "user", "x"), (None, 0, "user", "x"), (2, None, "assistant", "é" * 2000)]
