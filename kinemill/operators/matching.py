@@ -189,31 +189,33 @@ def leaf_matches(incoming: DataFrame, candidates: DataFrame) -> DataFrame:
     return hits.groupBy("in_id").agg(F.min("depth").alias("depth"), F.min_by("cand_id", "depth").alias("cand_id"))
 
 
-#: Pairwise video matchers over a_* and b_* columns.
-VIDEO_MATCHERS: dict[str, Callable[[], Column]] = {
-    "path": lambda: paths.sanitize(F.get("a_filenames", F.lit(0))) == paths.sanitize(F.get("b_filenames", F.lit(0))),
-    "basename": lambda: paths.basename(F.get("a_filenames", F.lit(0))) == paths.basename(F.get("b_filenames", F.lit(0))),
-    "content": lambda: F.col("a_n_frames").eqNullSafe(F.col("b_n_frames")) & (F.col("a_height") == F.col("b_height")) & (F.col("a_width") == F.col("b_width")) & F.col("a_channels").eqNullSafe(F.col("b_channels")) & F.col("a_backend").eqNullSafe(F.col("b_backend")),
-    "shape": lambda: F.coalesce((F.col("a_height") == F.col("b_height")) & (F.col("a_width") == F.col("b_width")) & (F.col("a_channels") == F.col("b_channels")), F.lit(False)),
-    "image_dedup": lambda: F.col("a_is_sequence") & F.col("b_is_sequence") & F.arrays_overlap(F.transform("a_filenames", paths.basename), F.transform("b_filenames", paths.basename)),
+#: Keys by which videos meet. A NULL key meets none, but for those in NULLABLE; a sequence has one key for each of its files.
+VIDEO_KEYS: dict[str, Callable[[], dict[str, Column]]] = {
+    "path": lambda: {"path": paths.sanitize(F.get("filenames", F.lit(0)))},
+    "basename": lambda: {"name": paths.basename(F.get("filenames", F.lit(0)))},
+    "content": lambda: {k: F.col(k) for k in ("n_frames", "height", "width", "channels", "backend")},
+    "shape": lambda: {k: F.col(k) for k in ("height", "width", "channels")},
+    "image_dedup": lambda: {"name": F.explode(F.when(F.col("is_sequence"), F.array_distinct(F.transform("filenames", paths.basename))))},
 }
+NULLABLE = {"content": {"n_frames", "channels", "backend"}}
 
 
 def video_map(incoming: DataFrame, base: DataFrame, method: str = "auto") -> DataFrame:
-    """(video_id, base_id, stage) of every incoming video; base_id is NULL if none matches.
+    """(video_id, base_id, stage) of every incoming video; base_id is NULL if none matches. video_id is a key of each side.
 
-    Videos are a dimension table (one row a file), so pairs are formed by a broadcast join behind a size check.
+    Videos meet by equality on the method's key, of which base has one row with its least id; no pairs are formed.
     ``auto``: candidates whose known shape differs, or which are another crop of the same file, are out; then the
     same file, the same path, the only candidate with the same trailing segments, in that order; ties by base id.
     """
-    if base.limit(100_001).count() > 100_000:
-        raise ValueError("more than 100,000 videos: match them by path in a join of their own")
-    pairs = _sided(incoming, "b", []).join(F.broadcast(_sided(base, "a", [])), how="cross") if method != "auto" else None
-    ids = incoming.select("video_id")
-    if pairs is not None:
-        hit = pairs.where(VIDEO_MATCHERS[method]()).groupBy(F.col("b_video_id").alias("video_id")).agg(F.min("a_video_id").alias("base_id"))
-        return ids.join(hit, "video_id", "left").withColumn("stage", F.when(F.col("base_id").isNotNull(), method))
-    return _cascade(incoming, base)
+    if method == "auto":
+        return _cascade(incoming, base)
+    keys, nullable = VIDEO_KEYS[method](), NULLABLE.get(method, set())
+    keyed = lambda d: d.select("video_id", *(c.alias(f"k_{k}") for k, c in keys.items())).dropna(subset=[f"k_{k}" for k in keys if k not in nullable])
+    first = keyed(base).groupBy(*(f"k_{k}" for k in keys)).agg(F.min("video_id").alias("base_id"))
+    l, r = keyed(incoming).alias("l"), first.alias("r")
+    on = [F.col(f"l.k_{k}").eqNullSafe(F.col(f"r.k_{k}")) if k in nullable else F.col(f"l.k_{k}") == F.col(f"r.k_{k}") for k in keys]
+    hit = l.join(r, on).groupBy("video_id").agg(F.min("base_id").alias("base_id"))
+    return incoming.select("video_id").join(hit, "video_id", "left").withColumn("stage", F.when(F.col("base_id").isNotNull(), method))
 
 
 #: What viable candidates agree on, as far as it is known.

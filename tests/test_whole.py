@@ -58,3 +58,32 @@ def test_cascade_equals_pairwise(spark):
     kinds = "video_id long, filenames array<string>, n_frames int, height int, width int, crop array<int>"
     got = {r["video_id"]: (r["base_id"], r["stage"]) for r in matching.video_map(spark.createDataFrame(b, kinds), spark.createDataFrame(a, kinds)).collect()}
     assert got == want and {s for _, s in got.values()} == {"path", "leaf", None}
+
+
+def test_video_methods_equal_pairwise_and_plan_no_cross_join(spark, capsys):
+    rng = random.Random(3)
+    some = lambda *v: rng.choice([None, *v])
+    one = lambda k: (k, rng.choice([None, [], [rng.choice(["/d/a.png", "C:\\\\m\\\\a.png", "/e/b.png"]), rng.choice(["/x/c.png", "/y/b.png"])]]), some(8, 9), some(8, 9), some(8), some(1, 3), some("x", "y"), some(True, False))
+    a, b = [one(k) for k in range(40)], [one(k) for k in range(1000, 1080)]
+    norm = lambda p: p.replace("\\", "/").replace("//", "/")
+    head = lambda v: norm(v[1][0]) if v[1] else None
+    names = lambda v: {norm(p).split("/")[-1] for p in v[1] or []}
+    known = lambda p, q: p is not None and p == q
+    brute = {
+        "path": lambda u, v: known(head(u), head(v)), "basename": lambda u, v: bool(head(u) and head(v)) and head(u).split("/")[-1] == head(v).split("/")[-1],
+        "content": lambda u, v: u[2] == v[2] and known(u[3], v[3]) and known(u[4], v[4]) and u[5:7] == v[5:7], "shape": lambda u, v: all(map(known, u[3:6], v[3:6])),
+        "image_dedup": lambda u, v: bool(u[7] and v[7] and names(u) & names(v)),
+    }
+    kinds = "video_id long, filenames array<string>, n_frames int, height int, width int, channels int, backend string, is_sequence boolean"
+    base, incoming = spark.createDataFrame(a, kinds), spark.createDataFrame(b, kinds)
+    for method, holds in brute.items():
+        out = matching.video_map(incoming, base, method)
+        assert {r["video_id"]: r["base_id"] for r in out.collect()} == {v[0]: min((u[0] for u in a if holds(u, v)), default=None) for v in b}, method
+        out.explain()
+        assert not {"NestedLoop", "Cartesian"} & {w for w in ("NestedLoop", "Cartesian") if w in capsys.readouterr().out}
+
+
+def test_more_than_100000_base_videos(spark):
+    v = spark.range(200_002).selectExpr("id AS video_id", "id div 2 AS height", "7 AS width", "1 AS channels")
+    out = matching.video_map(v.where("video_id % 2 = 1"), v.where("video_id % 2 = 0"), "shape")
+    assert out.where("base_id = video_id - 1").count() == out.count() == 100_001
