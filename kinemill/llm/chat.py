@@ -1,18 +1,19 @@
 r"""Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all preceding turns are its context, and only that reply is
-trainable. The examples of a conversation are prefixes of one transcript, so they are stored once: each row holds
-the text that an example adds to the one before (``new_text``), how many characters stand before it
-(``context_chars``), and the trainable span within it. ``example_texts`` spells the examples out. Output is linear
-in the input, and a conversation passes through a task row by row, however long it is.
+trainable. An example is one row, or several ordered parts (``part``) where its context is longer than ``row_chars``;
+every part holds whole turns, and the last one ends with the reply and has its span (``loss_start``, ``loss_end``).
 
-Template: ``### role: text</turn>`` and a line feed a turn. Inside texts, a backslash, ``###`` and ``</turn>`` get a
-backslash before them; inside roles also a colon, ``#``, ``<`` and a line feed.
+Template: ``### role: text</turn>`` and a line feed a turn. Inside texts and roles every backslash, ``#`` and ``<`` gets
+a backslash before it, inside roles also a colon and a line feed; so no text can hold ``###`` or ``</turn>``.
+
+Examples repeat their context, so the output grows with the square of a conversation's turns; a task holds one
+conversation's formatted text and one part at a time.
 
 Defined cases: a null text or role is empty; turns go by number, nulls first, ties by role, then text; repeated rows
-are turns of their own; turns after the last reply (or of a conversation without one) form a row without a
-trainable span, so that nothing is lost; rows with a null id are one conversation; an empty table gives an empty
-result; other columns are ignored.
+are turns of their own; turns after the last reply (or of a conversation without one) form rows of their own without a
+trainable span, so that nothing is lost; rows with a null id are one conversation, and ids may be of any type that
+sorts; a text of any length is one turn; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,27 +30,28 @@ from .common import shuffle_partitions, small
 
 TRAINED_ROLE = "assistant"
 END = "</turn>"
-_CONTROL = re.compile(r"\\|###|</turn>")
-_ROLE_CONTROL = re.compile(r"[\\:#<\n]")
+_CONTROL = re.compile(r"[\\#<]")
+_ROLE_CONTROL = re.compile(r"[\\#<:\n]")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^\\:#<\n]+|\\.)*): ((?:[^\\<#]+|\\.|<(?!/turn>)|#(?!##))*)</turn>\n", re.DOTALL)
+_TURN = re.compile(r"### ((?:[^\\#<:\n]+|\\.)*): ((?:[^\\#<]+|\\.)*)</turn>\n", re.DOTALL)
+#: Characters that one batch of examples holds, about.
+_BATCH_CHARS = 4_000_000
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(lambda m: "\\" + m[0], text)
+    return _CONTROL.sub(r"\\\g<0>", text)
 
 
 def escape_role(role: str) -> str:
-    return _ROLE_CONTROL.sub(lambda m: "\\" + m[0], role)
+    return _ROLE_CONTROL.sub(r"\\\g<0>", role)
 
 
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def parse(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """Role, text and the escaped text's span of each turn of a formatted text."""
-    at = 0
+def parse(text: str, at: int = 0) -> Iterator[tuple[str, str, int, int]]:
+    """Role, text and the escaped text's span of each turn of a formatted text from ``at`` on."""
     while at < len(text):
         m = _TURN.match(text, at)
         if m is None:
@@ -58,113 +60,131 @@ def parse(text: str) -> Iterator[tuple[str, str, int, int]]:
         at = m.end()
 
 
-_NAMES = ["example", "is_example", "context_chars", "new_text", "loss_start", "loss_end"]
+_NAMES = ["conv_id", "example", "is_example", "part", "n_parts", "text", "loss_start", "loss_end"]
+_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
 
 def expand(conversations: DataFrame, row_chars: int = 1_000_000) -> DataFrame:
-    """Rows of examples, in order within each conversation; one shuffle by conversation.
+    """Rows of examples, sorted by (conv_id, example, part) within partitions; one shuffle, of the turns.
 
-    Context longer than ``row_chars`` is spread over several rows, of which the last completes the example.
+    ``example`` counts from 0 within a conversation; what follows its last reply has the next number.
     """
     kind = conversations.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv = object()  # equal to no id
-        example = before = size = 0
-        parts: list[str] = []
-        for batch in small(batches):
-            rows: list[tuple] = []
-
-            def put(is_example: bool, loss: tuple[int, int] = (0, 0), rows: list = rows) -> None:
-                nonlocal example, before, size, parts
-                rows.append((conv, example, is_example, before, "".join(parts), *loss))
-                before, size, parts, example = before + size, 0, [], example + is_example
+        conv, id_type = object(), None  # equal to no id
+        closed: list[str] = []  # parts of the context that are long enough
+        open_: list[str] = []
+        tail: list[str] = []
+        example = size = held = 0
+        rows: list[tuple] = []
+
+        def put(is_example: bool, parts: list[str], loss: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+            nonlocal rows, held, example
+            for k, text in enumerate(parts):
+                rows.append((conv, example, is_example, k, len(parts), text, *(loss if k + 1 == len(parts) else (0, 0))))
+                held += len(text)
+                if held > _BATCH_CHARS:
+                    yield _record(rows, id_type)
+                    rows, held = [], 0
+            example += 1
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if tail:
+                parts, lo, n = [], 0, 0
+                for k, turn in enumerate(tail):
+                    n += len(turn)
+                    if n > row_chars or k + 1 == len(tail):
+                        parts.append("".join(tail[lo : k + 1]))
+                        lo, n = k + 1, 0
+                yield from put(False, parts, (0, 0))
 
+        for batch in small(batches):
+            id_type = batch.schema.field(0).type
             for c, role, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if c != conv:
-                    if parts:
-                        put(False)
-                    conv, example, before = c, 0, 0
+                    yield from finish()
+                    conv, closed, open_, tail, example, size = c, [], [], [], 0, 0
                 head, body = f"### {escape_role(role or '')}: ", escape(text or "")
-                parts.append(f"{head}{body}{END}\n")
-                start = size + len(head)
-                size += len(parts[-1])
+                turn = f"{head}{body}{END}\n"
+                open_.append(turn)
                 if role == TRAINED_ROLE:
-                    put(True, (start, start + len(body)))
-                elif size > row_chars:
-                    put(False)
+                    start = size + len(head)
+                    yield from put(True, [*closed, "".join(open_)], (start, start + len(body)))
+                    tail = []
+                else:
+                    tail.append(turn)
+                size += len(turn)
+                if size > row_chars:
+                    closed.append("".join(open_))
+                    open_, size = [], 0
             if rows:
-                yield _record(rows, batch.schema.field(0).type)
-            last = batch.schema.field(0).type
-        if parts:
-            yield _record([(conv, example, False, before, "".join(parts), 0, 0)], last)
+                yield _record(rows, id_type)
+                rows, held = [], 0
+        yield from finish()
+        if rows:
+            yield _record(rows, id_type)
 
     cols = conversations.select("conv_id", "role", "text", F.col("turn").alias("__turn"))
     dealt = cols.repartition(shuffle_partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "__turn", "role", "text")
-    return dealt.mapInArrow(run, f"conv_id {kind}, example long, is_example boolean, context_chars long, new_text string, loss_start long, loss_end long")
+    return dealt.mapInArrow(run, f"conv_id {kind}, example long, is_example boolean, part long, n_parts long, text string, loss_start long, loss_end long")
 
 
 def _record(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    types = [kind, pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["conv_id", *_NAMES])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [kind, *_KINDS], strict=True)], _NAMES)
 
 
-def example_texts(rows: DataFrame) -> DataFrame:
-    """Whole examples (text, loss_start, loss_end) from the rows of expand(); quadratic in a conversation's turns."""
-    kind = rows.schema["conv_id"].dataType.simpleString()
+def read_back(rows: DataFrame, in_order: bool = False) -> DataFrame:
+    """What the rows of expand() hold, one row a conversation; formatted_chars counts every row's text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, text = object(), ""
-        for batch in small(batches):
-            for row in batch.to_pylist():
-                if row["conv_id"] != conv:
-                    conv, text = row["conv_id"], ""
-                start = len(text)
-                text += row["new_text"]
-                if row["is_example"]:
-                    data = [[conv], [row["example"]], [text], [start + row["loss_start"]], [start + row["loss_end"]]]
-                    yield pa.RecordBatch.from_arrays([pa.array(data[0], batch.schema.field(0).type), *map(pa.array, data[1:])], ["conv_id", "example", "text", "loss_start", "loss_end"])
-
-    return rows.mapInArrow(run, f"conv_id {kind}, example long, text string, loss_start long, loss_end long")
-
-
-def read_back(rows: DataFrame) -> DataFrame:
-    """What the rows of expand() hold, one row a conversation; formatted_chars counts every example's whole text."""
+    Each example must begin with the whole of the one before it, so that its context is all preceding turns; the turns
+    beyond that are parsed. Rows that were written and read again are sorted first; ``in_order`` takes them as
+    expand() gives them, without a shuffle.
+    """
     kind = rows.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
+    cols = rows.select(*_NAMES)
+    if not in_order:
+        cols = cols.repartition(shuffle_partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "example", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state, last = object(), None, pa.int64()
+        before: list[str] = []  # parts of the example before
+        now: list[str] = []
 
         def closed() -> list[tuple]:
-            if state is None:
-                return []
-            turns, all_turns, chars, loss, formatted, examples, tail = state
-            return [(conv, turns, all_turns.hexdigest(), chars, loss.hexdigest(), formatted + tail, examples)]
+            return [] if state is None else [(conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5])]
 
         for batch in small(batches):
             done, last = [], batch.schema.field(0).type
-            for c, is_example, before, text, start, end in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "is_example", "context_chars", "new_text", "loss_start", "loss_end")), strict=True):
+            for c, example, is_example, part, n_parts, text, start, end in zip(*(batch.column(k).to_pylist() for k in _NAMES), strict=True):
                 if state is None or c != conv:
                     done += closed()
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                for role, content, _, _ in parse(text):
+                    conv, state, before, now = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0], [], []
+                if part != len(now):
+                    raise ValueError(f"example {example}: part {part} isn't where it belongs")
+                known = before[part] if is_example and part < len(before) else ""
+                if not text.startswith(known) or is_example and part + 1 < len(before) and text != known or is_example and n_parts < len(before):
+                    raise ValueError(f"example {example} doesn't begin with the one before")
+                for role, content, _, _ in parse(text, len(known)):
                     state[0] += 1
                     state[1].update(f"{role}\n{content}\n".encode())
-                loss = unescape(text[start:end])
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[5] += is_example
-                if is_example:
-                    state[4], state[6] = state[4] + before + len(text), 0
-                else:
-                    state[6] = before + len(text)  # a text without a reply, if no example follows
+                state[4] += len(text)
+                now.append(text)
+                if part + 1 == n_parts:
+                    if is_example:
+                        loss = unescape(text[start:end])
+                        state[2] += len(loss)
+                        state[3].update(loss.encode())
+                        state[5] += 1
+                        before = now
+                    now = []
             if done:
                 yield _digests(done, last, names)
         if state is not None:
             yield _digests(closed(), last, names)
 
-    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+    return cols.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
 
 
 def _digests(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
