@@ -1,15 +1,20 @@
 r"""WARC archives with an externally merged index.
 
 Every page becomes a WARC 1.1 record: a response with its payload, or a revisit of the response with the smallest
-page_id among equal payloads of at least ``least_bytes`` bytes. Archives are written by Spark's text sink (a record's
-closing blank lines are the separator), gzipped, to any file system that Spark reaches. Reading streams each archive
-through the decompressor, checks the digests, and yields one locally sorted run of index entries an archive. The
-runs are written, dealt out by ranges of (URL key, time, page), and a loser tree merges the runs of each range, so
-the index is in one global order.
+page_id among equal payloads of at least ``least_bytes`` bytes. Each record is a gzip member of its own, so an index
+entry's ``offset`` is where a reader can seek to. Members are written by Spark's text sink to any file system that
+Spark reaches; its line separator is an empty gzip member, so an archive is a valid sequence of members. A task begins
+a new archive after ``archive_bytes`` bytes. Reading takes the members one by one, checks the digests, and yields one
+locally sorted run of index entries an archive.
+
+The runs are written to the shared folder and merged externally: ranges of (URL key, time, page) hold at most about
+``range_rows`` entries, whatever the size of the index; in each range Spark's sort brings the runs' slices one after
+another, and a loser tree merges them, so the index is in one global order.
 
 Defined cases: a null payload is empty; a null or empty URL is ``about:blank``; a null page_id never is the smallest;
-rows that share the smallest page_id are all responses; repeated rows are records of their own; an empty table
-gives an empty index; other columns are ignored.
+rows that share the smallest page_id are all responses; repeated rows are records of their own; a very long payload is
+one member; page ids are whole numbers; an empty table gives an empty index; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, small
 
 CRLF = "\r\n"
 ID = "urn:kinemill:page:"
@@ -42,6 +47,7 @@ def records(pages: DataFrame, least_bytes: int = 100, time: Column | None = None
     """One WARC record a page as text, without the two line ends that close it."""
     page, payload = F.col("page_id"), F.col("__payload")
     time = F.timestamp_seconds(F.lit(_FIRST_DAY) + F.coalesce(F.pmod(page, F.lit(1 << 31)), F.lit(0))) if time is None else time
+    time = F.to_utc_timestamp(time, F.current_timezone())  # what date_format() shows is UTC in any session
     uri = F.regexp_replace(F.regexp_replace(F.coalesce(F.when(F.col("url") != "", F.col("url")), F.lit("about:blank")), "[\\r\\n]", "%0A"), "[\\x00-\\x20]", "%20")
     base = pages.select(page, F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("__date"), uri.alias("__uri"), F.coalesce(F.col("html"), F.lit("")).alias("__payload"))
     base = base.withColumn("__size", F.octet_length("__payload")).withColumn("__sha", F.sha2("__payload", 256))
@@ -57,9 +63,28 @@ def records(pages: DataFrame, least_bytes: int = 100, time: Column | None = None
     return joined.withColumn("__block", block).select(F.concat(F.lit(f"WARC/1.1{CRLF}"), head, F.lit(CRLF), F.col("__block")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 10_000, **options) -> None:
-    """Gzipped archives in the folder ``path``; ``records_per_file`` bounds the size of one."""
-    records(pages, **options).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+#: A gzip member without content: ten octets of header, an empty block, check and size.
+EMPTY_MEMBER = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0]) + bytes(8)
+
+
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = 1 << 26, **options) -> None:
+    """Archives of gzip members in the folder ``path``; ``archive_bytes`` bounds one but for its last record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        volume = size = 0
+        for batch in small(batches, 200):
+            members, volumes = [], []
+            for text in batch.column("value").to_pylist():
+                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                members.append(pack.compress(f"{text}{CRLF}{CRLF}".encode()) + pack.flush())
+                volumes.append(volume)
+                size += len(members[-1])
+                if size >= archive_bytes:
+                    volume, size = volume + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(volumes, pa.int32())], ["value", "volume"])
+
+    packed = records(pages, **options).mapInArrow(run, "value binary, volume int").select(F.col("value").cast("string"), "volume")
+    packed.write.partitionBy("volume").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
 @lru_cache(maxsize=65536)
@@ -79,50 +104,38 @@ def url_key(url: str) -> str:
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
+def parse_record(text: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and block of a record."""
+    end = text.find(b"\r\n\r\n")
+    if end < 0 or not text.startswith(b"WARC/"):
+        raise ValueError("no record here")
+    fields = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(text[: end + 2])}
+    start = end + 4
+    if text[start + int(fields["content-length"]) :] != b"\r\n\r\n":
+        raise ValueError("a record's length is wrong")
+    return fields, text[start:-4]
+
+
+def record_at(data: bytes | memoryview, offset: int) -> tuple[bytes, int]:
+    """Content of the gzip member at ``offset`` of an archive, and where the next member begins."""
+    stream = zlib.decompressobj(31)
+    parts, at = [], offset
+    while not stream.eof:
+        if at >= len(data):
+            raise ValueError("the archive ends within a record")
+        parts.append(stream.decompress(data[at : at + (1 << 16)]))
+        at += 1 << 16
+    return b"".join(parts), min(at, len(data)) - len(stream.unused_data)
+
+
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
-    """Header fields, block and place of each record of a gzipped archive; holds one record and one slice at a time."""
-    stream, given, buffer, base = zlib.decompressobj(31), 0, bytearray(), 0
-
-    def more() -> bool:
-        nonlocal stream, given
-        while given < len(data) or stream.unconsumed_tail or stream.unused_data:
-            if stream.eof:
-                rest = stream.unused_data
-                if not rest:
-                    rest, given = data[given : given + (1 << 20)], given + (1 << 20)
-                stream = zlib.decompressobj(31)
-            elif stream.unconsumed_tail:
-                rest = stream.unconsumed_tail
-            else:
-                rest, given = data[given : given + (1 << 20)], given + (1 << 20)
-            got = stream.decompress(rest, 1 << 22)
-            if got:
-                buffer.extend(got)
-                return True
-        return False
-
-    at = 0
-    while True:
-        while (end := buffer.find(b"\r\n\r\n", at)) < 0:
-            if not more():
-                if bytes(buffer[at:]).strip():
-                    raise ValueError("the archive ends within a record")
-                return
-        head = bytes(buffer[at : end + 2])
-        if not head.startswith(b"WARC/"):
-            raise ValueError(f"no record at {base + at}")
-        fields = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(head)}
-        size, start = int(fields["content-length"]), end + 4
-        while len(buffer) < start + size + 4:
-            if not more():
-                raise ValueError("the archive ends within a record")
-        if buffer[start + size : start + size + 4] != b"\r\n\r\n":
-            raise ValueError("a record's length is wrong")
-        yield fields, bytes(buffer[start : start + size]), base + at
-        at = start + size + 4
-        if at > 1 << 22:
-            del buffer[:at]
-            base, at = base + at, 0
+    """Header fields, block and offset of each record of an archive; members without content are passed over."""
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        text, following = record_at(view, at)
+        if text:
+            yield *parse_record(text), at
+        at = following
 
 
 _INDEX = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, capture_time string, archive string, offset long"
@@ -157,7 +170,7 @@ def index_runs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows, archive = [], name.as_py().rsplit("/", 1)[-1]
+                rows, archive = [], "/".join(name.as_py().rsplit("/", 2)[-2:])
                 for fields, block, place in parse_archive(content.as_py()):
                     split = block.index(b"\r\n\r\n") + 4
                     size = int(dict(_FIELD.findall(block[:split]))[b"Content-Length"])
@@ -167,7 +180,7 @@ def index_runs(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((_page(fields["warc-record-id"]), size, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), url_key(fields["warc-target-uri"]), fields["warc-date"], archive, place))
                 yield from _batches(sorted(rows, key=_order), _NAMES, _TYPES)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content").mapInArrow(run, _INDEX)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, _INDEX)
 
 
 class LoserTree:
@@ -209,7 +222,7 @@ class LoserTree:
             self.winner = i
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, range_rows: int = 100_000) -> DataFrame:
     """All entries, with ``position``: ascending in the global order by URL key, time and page.
 
     Ranges are cut by the whole key, so captures of one URL may lie in several of them.
@@ -219,16 +232,14 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         own: dict[str, list[tuple]] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own.setdefault(row[7], []).append(row)
-        for name, rows in own.items():
-            if any(_order(a) > _order(b) for a, b in zip(rows, rows[1:], strict=False)):
-                own[name] = sorted(rows, key=_order)  # a shuffle need not keep a run's order
+                own.setdefault(row[7], []).append(row)  # a run's rows come in its order
         base = TaskContext.get().partitionId() << 32
         merged = LoserTree(list(own.values()), _order)
         yield from _batches(((*row, base + i) for i, row in enumerate(merged)), [*_NAMES, "position"], [*_TYPES, pa.int64()])
 
-    n = shuffle_partitions(runs.sparkSession)
-    return runs.select(*_NAMES).repartitionByRange(n, "url_key", "capture_time", "page_id", "archive", "offset").mapInArrow(run, f"{_INDEX}, position long")
+    n = max(shuffle_partitions(runs.sparkSession), -(-runs.count() // range_rows))
+    order = ["url_key", "capture_time", "page_id", "archive", "offset"]
+    return runs.select(*_NAMES).repartitionByRange(n, *order).sortWithinPartitions("archive", *order).mapInArrow(run, f"{_INDEX}, position long")
 
 
 def round_trip(pages: DataFrame, path: str) -> DataFrame:
