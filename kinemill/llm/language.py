@@ -2,12 +2,14 @@
 
 Languages are grouped into families by how alike their mean letter n-gram profiles are. One-versus-rest linear
 support vector machines choose the family; one-versus-one linear support vector machines then choose the language
-within it. Training takes a bounded sample of labelled rows (``per_language`` rows of each language, those with
-the smallest hashes); prediction covers every row and reads the text alone.
+within it. Training takes a bounded sample of labelled rows: of each language the ``per_language`` distinct texts with
+the smallest hashes, or fewer where all languages together would pass ``max_texts``. The driver gets their features, of
+a fixed size each, never a text. Prediction covers every row and reads the text alone.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if no labelled row
-is there to learn from; with a single language every other text is that language; repeated rows train
-once and are predicted one by one; an empty table gives an empty result; other columns are ignored.
+is there to learn from; with a single language every other text is that language; equal margins go to the language
+first in the alphabet; repeated rows train once and are predicted one by one; a very long text is worked on by itself;
+an empty table gives an empty result; result columns get underscores until they differ from the columns kept.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, slices, small, texts_of
+from .common import fresh, joined, slices, small, texts_of
 
 UNDETERMINED = "und"
 DIMENSIONS = 2048
@@ -59,11 +61,6 @@ def magnitudes(texts: list[str]) -> np.ndarray:
     return np.array([min(15, len(t.encode("utf-8", "replace").translate(None, _OTHERS)).bit_length()) for t in texts], int)
 
 
-def likelihood(texts: list[str], logs: np.ndarray) -> np.ndarray:
-    """Mean log probability of each text's n-grams; its expectation does not depend on the length."""
-    return np.concatenate([np.square(profiles(texts[a:b]), dtype=np.float64) @ logs for a, b in slices(texts)])
-
-
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) of an L2 support vector machine by dual coordinate descent; y is 1 or -1."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
@@ -98,6 +95,18 @@ def families_of(means: np.ndarray, alike: float) -> list[list[int]]:
     return groups
 
 
+@dataclass
+class Sample:
+    """Features of the training texts, and of cuts of them."""
+
+    langs: list[str]
+    whole: np.ndarray  # a profile each
+    size: np.ndarray  # magnitudes; 0 without a letter
+    cuts: np.ndarray
+    cut_size: np.ndarray
+    cut_of: np.ndarray  # the text that it is a part of
+
+
 @dataclass
 class Hierarchy:
     languages: list[str]
@@ -109,14 +118,15 @@ class Hierarchy:
     bounds: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str], alike: float = 0.93) -> Hierarchy:
-        languages = sorted(set(langs))
+    def fit(cls, sample: Sample, alike: float = 0.93) -> Hierarchy:
+        languages = sorted(set(sample.langs))
         model = cls(languages)
-        model.calibrate([[t for t, v in zip(texts, langs, strict=True) if v == k] for k in languages])
+        label = np.array([languages.index(v) for v in sample.langs], int)
+        model.calibrate(sample, label)
         if len(languages) < 2:
             model.families = [[i] for i in range(len(languages))]
             return model
-        x, label = profiles(texts).astype(np.float64), np.array([languages.index(v) for v in langs])
+        x = sample.whole.astype(np.float64)
         model.families = families_of(np.array([x[label == k].mean(0) for k in range(len(languages))]), alike)
         own = {k: f for f, members in enumerate(model.families) for k in members}
         family = np.array([own[k] for k in label])
@@ -128,26 +138,27 @@ class Hierarchy:
                 model.pairs[a, b] = linear_svm(x[at], np.where(label[at] == a, 1.0, -1.0))
         return model
 
-    def calibrate(self, own: list[list[str]], seed: int = 7) -> None:
+    def calibrate(self, sample: Sample, label: np.ndarray) -> None:
         """Bounds from each language's texts and cuts of them, half by half under the frequencies of the other half.
 
         A bound is the least likelihood at a magnitude or any above, less a quarter of its distance to the median and
         0.4 at least, so that text of the language stays at any length.
         """
-        rng = np.random.default_rng(seed)
-        self.logs, self.bounds = np.zeros((DIMENSIONS, len(own))), np.full((len(own), 16), -np.inf)
-        frequencies = lambda t: np.log(sum(np.square(profiles(t[a:b]), dtype=np.float64).sum(0) for a, b in slices(t)) / len(t) + 1e-6)
-        for k, texts in enumerate(own):
-            texts = [t for t in texts if _LETTER.search(t)]
+        n = len(self.languages)
+        self.logs, self.bounds = np.zeros((DIMENSIONS, n)), np.full((n, 16), -np.inf)
+        frequencies = lambda x: np.log(np.square(x, dtype=np.float64).mean(0) + 1e-6)
+        for k in range(n):
+            texts = np.flatnonzero((label == k) & (sample.size > 0))
             if len(texts) < LEAST_TEXTS:
                 continue
-            self.logs[:, k] = frequencies(texts)
+            self.logs[:, k] = frequencies(sample.whole[texts])
             found, sizes = [], []
             for part, rest in ((texts[::2], texts[1::2]), (texts[1::2], texts[::2])):
-                cuts = [t[(at := int(rng.integers(len(t)))) : at + (2 << int(rng.integers(13)))] for t in part for _ in range(4)]
-                part = part + [t for t in cuts if _LETTER.search(t)]
-                found.append(likelihood(part, frequencies(rest)))
-                sizes.append(magnitudes(part))
+                logs = frequencies(sample.whole[rest])
+                cut = np.flatnonzero(np.isin(sample.cut_of, part) & (sample.cut_size > 0))
+                for x, size in ((sample.whole[part], sample.size[part]), (sample.cuts[cut], sample.cut_size[cut])):
+                    found.append(np.square(x, dtype=np.float64) @ logs)
+                    sizes.append(size)
             value, size = np.concatenate(found), np.concatenate(sizes)
             bound, told = np.inf, [m for m in range(16) if (size == m).sum() >= LEAST_TEXTS]
             for m in told[::-1]:
@@ -202,41 +213,59 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 600, max_languages: int = 200, text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
-    """Fit on the labelled rows of ``docs``: of each language the ``per_language`` distinct texts with the smallest hashes.
-
-    The driver gets at most per_language * max_languages texts; more languages than that are an error.
-    """
+def sample_texts(docs: DataFrame, per_language: int, max_texts: int, text_col: str, lang_col: str) -> DataFrame:
+    """(l, h, t): of each language the distinct texts with the smallest hashes."""
     labelled = docs.select(docs[lang_col].alias("l"), docs[text_col].alias("t")).where("l is not null and t is not null")
     hashed = labelled.withColumn("h", F.xxhash64("t", "l"))
     # Texts are counted once, as they train: copies share a hash, so they would fall under the cut or over it together.
-    sizes = {r["l"]: r["count"] for r in hashed.select("l", "h").distinct().groupBy("l").count().limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages are labelled")
-    if not sizes:
-        return Hierarchy([])
+    sizes = hashed.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n"))
+    known = sizes.agg(F.count("*").alias("n")).first()["n"]
+    per_language = min(per_language, max(1, max_texts // max(1, known)))
     # A cut in the hashes leaves a little more than the bound of each language; only those are ranked.
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, (2 * per_language + 20) / n))])
-    near = hashed.where(F.pmod("h", F.lit(1 << 20)) / (1 << 20) < share[F.col("l")])
+    near = hashed.join(sizes, "l").where(F.pmod("h", F.lit(1 << 20)) / (1 << 20) < F.lit(2 * per_language + 20) / F.col("n")).select("l", "h", "t")
     once = near.groupBy("l", "h").agg(F.min("t").alias("t"))
-    ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language)
-    sample = sorted((r["l"], r["h"], r["t"]) for r in ranked.collect())
-    return Hierarchy.fit([t for _, _, t in sample], [k for k, _, _ in sample])
+    return once.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language).select("l", "h", "t")
+
+
+def train(docs: DataFrame, per_language: int = 600, max_texts: int = 12_000, text_col: str = "text", lang_col: str = "lang", cuts: int = 4) -> Hierarchy:
+    """Fit on the labelled rows of ``docs``; the driver gets (1 + cuts) * max_texts features of 4 KB at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 100):
+            hashes, parts, size = batch.column("h").to_pylist(), [], []
+            for h, t in zip(hashes, batch.column("t").to_pylist(), strict=True):
+                rng = np.random.default_rng(h & 0xFFFFFFFF)
+                own = [t] + [t[(at := int(rng.integers(max(1, len(t))))) : at + (2 << int(rng.integers(13)))] for _ in range(cuts)]
+                size += [m if _LETTER.search(p) else 0 for p, m in zip(own, magnitudes(own).tolist(), strict=True)]
+                parts += own
+            found = [x.tobytes() for x in profiles(parts).astype(np.float16)]
+            step = 1 + cuts
+            rows = [found[i : i + step] for i in range(0, len(found), step)], [size[i : i + step] for i in range(0, len(size), step)]
+            yield pa.RecordBatch.from_arrays([batch.column("l").cast(pa.string()), batch.column("h"), pa.array(rows[0], pa.list_(pa.binary())), pa.array(rows[1], pa.list_(pa.int32()))], ["l", "h", "x", "size"])
+
+    picked = sample_texts(docs, per_language, max_texts, text_col, lang_col)
+    rows = sorted(picked.mapInArrow(run, "l string, h long, x array<binary>, size array<int>").collect(), key=lambda r: (r["l"], r["h"]))
+    if not rows:
+        return Hierarchy([])
+    x = np.frombuffer(b"".join(v for r in rows for v in r["x"]), np.float16).reshape(len(rows), 1 + cuts, DIMENSIONS).astype(np.float32)
+    size = np.array([r["size"] for r in rows], int)
+    return Hierarchy.fit(Sample([r["l"] for r in rows], x[:, 0], size[:, 0], x[:, 1:].reshape(-1, DIMENSIONS), size[:, 1:].ravel(), np.repeat(np.arange(len(rows)), cuts)))
 
 
-def identify(docs: DataFrame, model: Hierarchy, keep: list[str], text_col: str = "text", reject: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Hierarchy, keep: list[str], text_col: str = "text", reject: bool = False, result_cols: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` of every row, with lang_pred and score; no shuffle. The model is a few weights a language.
 
     With ``reject``, lang_pred is ``und`` for text that is unlike the texts of every learned language.
     """
+    results = fresh(keep, *result_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            texts = texts_of(batch, "__text")
+            texts = texts_of(batch, "text")
             for a, b in slices(texts):
                 langs, scores = model.predict(texts[a:b], reject)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(f"__k{i}") for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f"k{i}") for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *results])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*(docs[c].alias(f"__k{i}") for i, c in enumerate(keep)), docs[text_col].alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep)), docs[text_col].alias("text")).mapInArrow(run, f"{kinds}, `{results[0]}` string, `{results[1]}` double")
