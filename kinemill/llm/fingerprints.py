@@ -3,14 +3,16 @@
 A k-mer of the UTF-8 bytes is a closed syncmer if the smallest hash of its inner s-mers stands at its first or last
 place; whether it is one depends on its own bytes alone, so copies of a passage give the same anchors wherever they
 stand. A fingerprint keeps the anchors with the smallest hashes over the whole text, in the order in which they
-occur (8 hex digits each). Likeness matches anchors by position: those of both texts that lie on one increasing
-chain, against the smallest anchors of the union, turned from a share of the union (Jaccard) into a share of the
-texts (Dice).
+occur (8 hex digits each): LEAST of them, and one more for every SHARE different anchors that the text has, so that it
+grows with the text. Likeness matches anchors by position: those of both texts that lie on one increasing chain,
+against the anchors of the union up to the hash that both fingerprints reach, turned from a share of the union
+(Jaccard) into a share of the texts (Dice).
 
 Defined cases: a null text is an empty text, whose fingerprint is empty; a text too short for an anchor has one
-anchor, the hash of the whole; two empty fingerprints are alike (1), an empty and another are not (0). The next
-document is the next in descending order of id (nulls last, ties by text); the last one's is the first; a document
-alone is its own next. An empty table gives an empty result; other columns are ignored.
+anchor, the hash of the whole; two empty fingerprints are alike (1), an empty and another are not (0). Ids are numbers.
+The next document is the next in descending order of id (nulls last and by a hash of their text, ties by text); the
+last one's is the first; a document alone is its own next. A very long text is worked on by itself. An empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunk_hashes, shuffle_partitions, slices, small
 
 S_MER, WINDOW = 8, 16
 K_MER = S_MER + WINDOW - 1
-ANCHORS = 128
+LEAST, SHARE = 128, 32
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -54,7 +56,7 @@ def anchors(octets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (mixed >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprints(texts: list[str], size: int = ANCHORS) -> list[bytes]:
+def fingerprints(texts: list[str], least: int = LEAST, share: int = SHARE) -> list[bytes]:
     """Big-endian anchors of each text, in reading order."""
     out: list[bytes] = []
     for a, b in slices(texts, 250_000):
@@ -76,7 +78,7 @@ def fingerprints(texts: list[str], size: int = ANCHORS) -> list[bytes]:
         key, first = np.unique(key, return_index=True)
         own = (key >> np.uint64(32)).astype(np.int64)
         rank = np.arange(len(key)) - np.searchsorted(own, np.arange(b - a))[own]
-        kept = rank < size
+        kept = rank < (least + np.bincount(own, minlength=b - a) // share)[own]
         own, place, mark = own[kept], at[first[kept]], (key[kept] & np.uint64(0xFFFFFFFF)).astype(">u4")
         order = np.lexsort((place, own))
         data = mark[order].tobytes()
@@ -85,31 +87,39 @@ def fingerprints(texts: list[str], size: int = ANCHORS) -> list[bytes]:
     return out
 
 
-def likeness(a: bytes, b: bytes, size: int = ANCHORS) -> float:
+def likeness(a: bytes, b: bytes, least: int = LEAST) -> float:
     """0 to 1: the share of the texts that lies on one increasing chain of common anchors."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
     x, y = np.frombuffer(a, ">u4"), np.frombuffer(b, ">u4")
-    xs, ys = x.tolist(), y.tolist()
-    common = set(xs) & set(ys)
-    if not common:
-        return 0.0
-    # beyond the smallest anchors of the union, an anchor may be missing from one sketch though its text has it
-    union = sorted({*xs, *ys})[:size]
-    common &= set(union)
+    # a fingerprint of fewer anchors holds all of its text's; of others, each knows the anchors up to its largest
+    reach = min((int(v.max()) for v in (x, y) if len(v) >= least), default=1 << 32)
+    xs, ys = x[x <= reach].tolist(), y[y <= reach].tolist()
+    union = {*xs, *ys}
     place = {v: i for i, v in enumerate(ys)}
     tails: list[int] = []
     for v in xs:
-        if v in common:
-            p = place[v]
+        if (p := place.get(v)) is not None:
             i = bisect_left(tails, p)
             tails[i : i + 1] = [p]
     share = len(tails) / len(union)
     return 2 * share / (1 + share)
 
 
+def above(cuts: list[float], value: Column) -> Column:
+    """How many of the ascending cuts are larger than a value, by a search in two steps."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    firsts, inner = F.array(*[F.lit(g[0]) for g in groups]), F.array(*[F.array(*map(F.lit, g)) for g in groups])
+    below = F.size(F.filter(firsts, lambda c: c <= value))  # groups that begin at or below the value
+    own = F.element_at(inner, F.greatest(below, F.lit(1)))
+    return F.lit(len(cuts)) - F.when(below == 0, 0).otherwise((below - 1) * step + F.size(F.filter(own, lambda c: c <= value)))
+
+
 _OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -121,26 +131,28 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    ids = docs.select(F.col(id_col).cast("double").alias("d"))
     parts = shuffle_partitions(spark)
-    cuts = sorted({*ids.approxQuantile("d", [k / parts for k in range(1, parts)], 1 / (8 * parts))}) if parts > 1 else []
-    # ranges in descending order of id; the rows without an id are the last range
-    grid = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    value = F.col(id_col).cast("double")
-    ranged = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.when(value.isNull(), len(cuts) + 1).otherwise(F.size(F.filter(grid, lambda c: c > value))).alias("__range"))
-    # one row a range: at most as many as there are shuffle partitions
-    heads = sorted((r["__range"], r["top"]) for r in ranged.groupBy("__range").agg(F.max("__id").alias("top")).collect())
-    n = len(cuts) + 2
-    tops, before = [None] * n, [0] * n
-    for k, (own, top) in enumerate(heads):
-        tops[own], before[own] = top, heads[k - 1][0]
-    at = F.col("__range")
-    leads = F.col("__id").eqNullSafe(F.array(*[F.lit(t).cast(kind) for t in tops])[at])
+    value, text = docs[id_col].cast("double"), F.coalesce(docs[text_col], F.lit(""))
+    cuts = sorted({*docs.select(value.alias("d")).approxQuantile("d", [k / parts for k in range(1, parts)], 1 / (8 * parts))}) if parts > 1 else []
+    lost = parts if docs.where(docs[id_col].isNull()).limit(1).count() else 0  # ranges for the rows without an id
+    hashed = F.when(value.isNull(), F.xxhash64(text))
+    # ranges in descending order of id, then the rows without one in ascending order of their hashes
+    place = F.when(value.isNull(), len(cuts) + 1 + F.floor((hashed / float(1 << 64) + 0.5) * (1 - 1e-12) * max(1, lost)).cast("int")).otherwise(above(cuts, value))
+    ranged = docs.select(docs[id_col].alias("id"), text.alias("text"), hashed.alias("hash"), place.alias("range"))
+    # one row a range: at most twice as many as there are shuffle partitions
+    heads = sorted((r["range"], r["top"], r["low"]) for r in ranged.groupBy("range").agg(F.max("id").alias("top"), F.min("hash").alias("low")).collect())
+    n = len(cuts) + 1 + max(1, lost)
+    tops, lows, before = [None] * n, [None] * n, [0] * n
+    for k, (own, top, low) in enumerate(heads):
+        tops[own], lows[own], before[own] = top, low, heads[k - 1][0]
+    at = F.col("range")
+    leads = F.col("id").eqNullSafe(F.array(*[F.lit(t).cast(kind) for t in tops])[at]) & F.col("hash").eqNullSafe(F.array(*[F.lit(t).cast("long") for t in lows])[at])
     here, there = F.struct(at.alias("range"), F.lit(0).alias("extra")), F.struct(F.array(*map(F.lit, before))[at].alias("range"), F.lit(1).alias("extra"))
     copies = F.when(leads, F.array(here, there)).otherwise(F.array(here))
-    dealt = ranged.select("__id", "__text", F.explode(copies).alias("__c")).select("__id", "__text", F.col("__c.range").alias("__range"), F.col("__c.extra").alias("__extra"))
-    order = [F.col("__range"), F.col("__extra"), F.col("__id").desc_nulls_last(), F.col("__text")]
-    dealt = dealt.repartition(parts, "__range").sortWithinPartitions(*order)
+    dealt = ranged.select("id", "text", "hash", F.explode(copies).alias("c")).select("id", "text", "c.range", "c.extra", "hash")
+    order = [F.col("range"), F.col("extra"), F.col("id").desc_nulls_last(), F.col("hash"), F.col("text")]
+    # a partition a range: hashed, several ranges would fall together
+    dealt = dealt.repartitionById(n, "range").sortWithinPartitions(*order).drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the last row so far: its next one isn't known yet
