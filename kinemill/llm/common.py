@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -31,12 +33,14 @@ def tokenizer_path(name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary folder only where none is set, as in local tests."""
+    """The cluster's shared folder; a temporary folder only in local mode where none is set, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         named = getattr(sc, "_kinemill_checkpoints", None)
         if named is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = sc._kinemill_checkpoints = "file://" + tempfile.mkdtemp(prefix="kinemill-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -44,8 +48,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kinemill/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below a folder of this application that goes when the driver ends."""
+    sc = spark.sparkContext
+    own = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kinemill/{sc.applicationId}"
+    if getattr(sc, "_kinemill_scratch", None) != own:
+        sc._kinemill_scratch = own
+        atexit.register(discard, spark, own)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no result reads any more."""
+    with contextlib.suppress(Exception):  # at the driver's end the JVM may be gone
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores before those that are taken already (Spark's names ignore case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -96,6 +123,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_M3 = np.uint64(0xD6E8FEB86659FD93)
 _R = np.uint64(31)
 
 
@@ -118,8 +146,23 @@ def chunk_hashes(octets: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np
     return h
 
 
+def chunk_checks(octets: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """What tells chunks of equal chunk_hashes() apart: the length for those of up to eight octets, which with the hash
+    tells them exactly, and 64 more bits for the others."""
+    out = lens.astype(np.uint64)
+    more, done = np.flatnonzero(lens > 8), 0
+    eight = np.ndarray((len(octets) - 7,), "<u8", octets, strides=(1,))
+    while len(more):
+        left = lens[more] - done
+        x = (out[more] + (eight[starts[more] + done] & _MASKS[np.minimum(left, 8)])) * _M3
+        x ^= x >> np.uint64(29)
+        out[more] = x
+        more, done = more[left > 8], done + 8
+    return out
+
+
 class ChunkTable:
-    """Ids that each chunk of text becomes, computed once a worker; chunks are known by their 64-bit hashes.
+    """Ids that each chunk of text becomes, computed once a worker; chunks are known by hash and check.
 
     ``encode`` takes a list of new chunks (str) and returns (flat ids, lengths). The table starts anew once it
     holds ``limit`` chunks, so its memory is bounded.
@@ -131,9 +174,9 @@ class ChunkTable:
 
     def reset(self) -> None:
         self.bits = 16
-        self.keys = np.zeros(1 << self.bits, np.uint64)
         self.row_of = np.full(1 << self.bits, -1, np.int32)
         self.hashes = np.empty(1 << 14, np.uint64)
+        self.checks = np.empty(1 << 14, np.uint64)
         self.flat = np.empty(1 << 16, self.dtype)
         self.starts = np.empty(1 << 14, np.int64)
         self.lens = np.empty(1 << 14, np.int32)
@@ -147,15 +190,16 @@ class ChunkTable:
         out[:used] = a[:used]
         return out
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Rows of hashes, -1 for those that are new."""
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Rows of chunks, -1 for those that are new."""
         slots = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         rows = self.row_of[slots]
-        on = np.flatnonzero((self.keys[slots] != h) & (rows >= 0))
+        other = lambda r, on: (r >= 0) & ((self.hashes[r] != h[on]) | (self.checks[r] != check[on]))
+        on = np.flatnonzero(other(rows, slice(None)))
         while len(on):
-            slots[on] = (slots[on] + 1) & (len(self.keys) - 1)
+            slots[on] = (slots[on] + 1) & (len(self.row_of) - 1)
             rows[on] = self.row_of[slots[on]]
-            on = on[(self.keys[slots[on]] != h[on]) & (rows[on] >= 0)]
+            on = on[other(rows[on], on)]
         return rows
 
     def _insert(self, h: np.ndarray, rows: np.ndarray) -> None:
@@ -164,39 +208,38 @@ class ChunkTable:
             at = slots[todo]
             free = self.row_of[at] < 0
             self.row_of[at[free]] = rows[todo[free]]  # of several, the last stays
-            won = self.row_of[at] == rows[todo]
-            self.keys[at[won]] = h[todo[won]]
-            todo = todo[~won]
-            slots[todo] = (slots[todo] + 1) & (len(self.keys) - 1)
+            todo = todo[self.row_of[at] != rows[todo]]
+            slots[todo] = (slots[todo] + 1) & (len(self.row_of) - 1)
 
     def look_up(self, octets: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Row of each chunk in ``starts`` and ``lens`` of this table; they hold until the next call."""
         if self.rows > self.limit:
             self.reset()
-        h = chunk_hashes(octets, starts, lens)
-        rows = self._find(h)
+        h, check = chunk_hashes(octets, starts, lens), chunk_checks(octets, starts, lens)
+        rows = self._find(h, check)
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            n, first = len(new), missing[first]
-            data = octets.tobytes()
+            order = missing[np.lexsort((check[missing], h[missing]))]
+            head = np.ones(len(order), bool)
+            head[1:] = (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+            first = order[head]
+            n, data = len(first), octets.tobytes()
             a, b = starts[first].tolist(), (starts[first] + lens[first]).tolist()
             flat, sizes = self.encode([data[i:j].decode() for i, j in zip(a, b, strict=True)])
-            self.starts, self.lens, self.hashes = (self._room(x, self.rows, n) for x in (self.starts, self.lens, self.hashes))
+            self.starts, self.lens, self.hashes, self.checks = (self._room(x, self.rows, n) for x in (self.starts, self.lens, self.hashes, self.checks))
             self.flat = self._room(self.flat, self.used, len(flat))
             self.flat[self.used : self.used + len(flat)] = flat
             at = slice(self.rows, self.rows + n)
-            self.lens[at], self.hashes[at] = sizes, new
+            self.lens[at], self.hashes[at], self.checks[at] = sizes, h[first], check[first]
             self.starts[at] = self.used + np.cumsum(sizes) - sizes
-            while (self.rows + n) * 2 > len(self.keys):
+            while (self.rows + n) * 2 > len(self.row_of):
                 self.bits += 1
-                self.keys = np.zeros(1 << self.bits, np.uint64)
                 self.row_of = np.full(1 << self.bits, -1, np.int32)
-                if (self.rows + n) * 2 <= len(self.keys):
+                if (self.rows + n) * 2 <= len(self.row_of):
                     self._insert(self.hashes[: self.rows], np.arange(self.rows, dtype=np.int32))
-            fresh = np.arange(self.rows, self.rows + n, dtype=np.int32)
-            self._insert(new, fresh)
-            rows[missing] = fresh[back]
+            new = np.arange(self.rows, self.rows + n, dtype=np.int32)
+            self._insert(h[first], new)
+            rows[order] = new[np.cumsum(head) - 1]
             self.rows += n
             self.used += len(flat)
         return rows

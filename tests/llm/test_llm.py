@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -11,11 +12,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinemill.llm import chat, fingerprints, jpeg, near, pieces, spans, token_counts, warc, word_bpe
 from kinemill.llm.common import offsets, tokenizer_path
-from kinemill.llm.language import UNDETERMINED, held_out, identify, train
+from kinemill.llm.language import UNDETERMINED, held_out, identify, sample_texts, train
 from kinemill.llm.packing import Packer, pack_documents
 from kinemill.llm.queries import QUERIES
 
@@ -149,6 +152,67 @@ def test_syncmers_are_context_free_and_alike():
     assert fingerprints.likeness(b"", b"") == 1.0 and fingerprints.likeness(a, b"") == 0.0
 
 
+def anchors_by_hand(raw):
+    """Closed syncmers one k-mer at a time."""
+    mask, m1, m2 = (1 << 64) - 1, int(fingerprints._M1), int(fingerprints._M2)
+    eight = lambda i: int.from_bytes(raw[i : i + 8], "little")
+
+    def first(i):
+        h = eight(i) * m1 & mask
+        return (h ^ h >> 32) * m2 & mask
+
+    out = []
+    for i in range(len(raw) - fingerprints.K_MER + 1):
+        inner = [first(i + k) >> 32 for k in range(fingerprints.WINDOW)]
+        if min(inner) in (inner[0], inner[-1]):
+            h = first(i) ^ (first(i + 8) * m1 & mask) ^ (first(i + fingerprints.WINDOW - 1) * m2 & mask)
+            out.append((h ^ h >> 29) * m1 + 0 & mask)
+    return [h >> 32 for h in out]
+
+
+def test_fingerprints_equal_brute_force(texts):
+    sample = [t or "" for _, t in texts[:25]] + [t for t in ODD if len(t) < 20_000]
+    for t, got in zip(sample, fingerprints.fingerprints(sample), strict=True):
+        raw = t.encode()
+        place = {}
+        for k, mark in enumerate(anchors_by_hand(raw)):
+            place.setdefault(mark, k)
+        if place:
+            kept = sorted(place)[: fingerprints.LEAST + len(place) // fingerprints.SHARE]
+            assert np.frombuffer(got, ">u4").tolist() == sorted(kept, key=place.get)
+        else:
+            assert len(got) == (4 if raw else 0)
+
+
+def test_likeness_of_long_texts():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    for n in (200, 20_000):  # half of a text replaced, at any length
+        a = [word() for _ in range(n)]
+        x, y = fingerprints.fingerprints([" ".join(a), " ".join(a[: n // 2] + [word() for _ in range(n // 2)])])
+        assert abs(fingerprints.likeness(x, y) - 0.5) < 0.12
+
+
+def test_neighbours_by_id_with_nulls(spark):
+    rows = [(k if k % 3 else None, f"text {k} " * 20) for k in range(60)] + [(7, "another text with the id seven"), (None, None)]
+    got = fingerprints.with_edits(docs(spark, rows)).toPandas()
+    assert len(got) == len(rows) and got["edited_sha256"].notna().all()
+    known = sorted(((i, t) for i, t in rows if i is not None), key=lambda r: -r[0])
+    by = defaultdict(set)
+    for i, h in zip(got["doc_id"], got["edited_sha256"], strict=True):
+        by[None if np.isnan(i) else int(i)].add(h)
+    for (i, t), (_, after) in zip(known, known[1:], strict=False):
+        if 7 not in (i, _):
+            assert hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest() in by[i]
+
+
+def test_cuts_are_searched_in_two_steps(spark):
+    cuts = [1.0, 2.0, 2.5, 7.0, 9.0, 11.0, 30.0]
+    values = [-1.0, 1.0, 1.5, 2.5, 8.0, 30.0, 99.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(fingerprints.above(cuts, F.col("v")).alias("n")).collect()
+    assert [r["n"] for r in got] == [sum(c > v for c in cuts) for v in values]
+
+
 def test_passages_of_fifty_words_stay_once(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
@@ -162,6 +226,115 @@ def test_passages_of_fifty_words_stay_once(spark):
         assert got[k].split() == clean[k].split()
 
 
+def test_passages_that_begin_in_mid_sentence_go(spark):
+    """51 shared words, the end of one sentence and the beginning of the next, or without a full stop at all."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows, shared = [], []
+    for k in range(40):
+        words = [word() for _ in range(51)]
+        if k % 2:
+            words[24] += "."
+        shared.append(" ".join(words))
+        for copy in range(2):
+            rows.append((2 * k + copy, f"{' '.join(word() for _ in range(8 + k % 5))} {shared[k]} {' '.join(word() for _ in range(9))}."))
+    got = {r["doc_id"]: r for r in spans.dedup_spans(docs(spark, rows)).collect()}
+    hit = 0
+    for k in range(40):
+        assert got[2 * k]["text"] == rows[2 * k][1] and got[2 * k]["n_removed"] == 0
+        left, own = got[2 * k + 1]["text"].split(), set(shared[k].split())
+        assert [w for w in rows[2 * k + 1][1].split() if w not in own] == [w for w in left if w not in own]
+        hit += sum(w in own for w in left) <= 31
+    assert hit >= 39
+
+
+def spans_by_hand(rows, least=spans.LEAST_WORDS):
+    """Texts without repeated runs, by sets of word tuples."""
+    cut = {i: spans.Sentences([t], 1) for i, t in rows}  # its sentences; runs, hashes and removal are made here
+    first, runs = {}, {}
+    for i, t in sorted(rows):
+        words, s = t.split(), cut[i]
+        at = [*s.first.tolist(), len(words)]
+        n = len(at) - 1
+        mine = set()
+        for a in range(n):
+            b = next((b for b in range(a + 2, n + 1) if at[b] - at[a] >= least), None)
+            if b:
+                mine.add((a, b))
+        for b in range(1, n + 1):
+            a = next((a for a in range(b - 2, -1, -1) if at[b] - at[a] >= least), None)
+            if a is not None:
+                mine.add((a, b))
+        runs[i] = sorted(mine), at, [w.lower() for w in words]
+        for a, b in runs[i][0]:
+            first.setdefault(tuple(runs[i][2][at[a] : at[b]]), (i, a))
+    out = {}
+    for i, (mine, at, low) in runs.items():
+        gone = {s for a, b in mine if first[tuple(low[at[a] : at[b]])] != (i, a) for s in range(a, b)}
+        out[i] = [w for s in range(len(at) - 1) if s not in gone for w in low[at[s] : at[s + 1]]], len(gone)
+    return out
+
+
+def test_spans_equal_brute_force(spark, texts):
+    rows = [(i, t) for i, t in texts if t and t.isascii()]
+    want = spans_by_hand(rows)
+    got = spans.dedup_spans(docs(spark, rows)).collect()
+    assert sum(n for _, n in want.values()) > 0
+    for r in got:
+        assert (r["text"].lower().split(), r["n_removed"]) == want[r["doc_id"]]
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_ids_of_other_types(spark, kind):
+    passage = ". ".join(" ".join(f"w{k}x{j}" for j in range(9)) for k in range(9)) + "."
+    rows = [("10" if kind == "string" else 10.0, passage), ("9" if kind == "string" else 9.0, passage + " More."), (None, "lone words here")]
+    d = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    got = {r["doc_id"]: r for r in spans.dedup_spans(d).collect()}
+    assert len(got) == 3 and sum(r["n_removed"] > 0 for r in got.values()) == 1
+    linked = {r["doc_id"]: r["class_id"] for r in near.link(d).collect()}
+    assert linked[rows[0][0]] == linked[rows[1][0]] == min(rows[0][0], rows[1][0]) and linked[None] is None
+    assert {r["doc_id"] for r in near.one_of_each(d).collect()} == {min(rows[0][0], rows[1][0]), None}
+    if kind == "string":
+        assert chat.read_back(chat.expand(d.selectExpr("doc_id conv_id", "0 turn", "'assistant' role", "text"))).count() == 3
+
+
+def test_rows_that_share_an_id_stay_if_they_differ(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    got = near.one_of_each(docs(spark, [(5, a), (5, b), (6, c), (3, a), (6, c), (None, b)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(3, a), (5, b), (6, c)])
+
+
+def test_clashing_names(spark):
+    """Columns with the names that results and helpers have."""
+    text = ". ".join(" ".join(f"w{k}x{j}" for j in range(9)) for k in range(9)) + "."
+    names = ["score", "lang_pred", "held_out", "doc", "h", "c", "k", "t1", "t2", "turn", "n_removed", "n_sentences", "text_", "hash", "range", "extra", "node", "l", "t", "_lang_pred", "_score"]
+    d = spark.createDataFrame([(i, text, "en", *(["x"] * len(names))) for i in range(3)], "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d.withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1).cast("long")), DATA)
+        assert out.columns == [*d.columns, "source", "n_chars"], name
+        assert out.where("score = 'x' and k = 'x'").count() == (1 if name == "ngram_jaccard" else 3), name
+    assert fingerprints.with_edits(d).count() == identify(d, train(d), d.columns).count() == near.link(d).count() == 3
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3])
+def test_stages_take_odd_and_empty_input(spark, stage):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", None, 1) for i, t in enumerate(ODD)] + [(None, None, None, None, None), (0, "", None, "s", 0), (7, ODD[7], "fr", "s", 1), (7, ODD[7], "fr", "s", 1)]
+    name, run = corpus_pipeline.STAGES[stage]
+    assert run(spark, spark.createDataFrame([], schema), DATA).count() == 0
+    got = run(spark, spark.createDataFrame(rows, schema), DATA).collect()
+    if name == "packing":
+        assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+    elif name == "substring_dedup":
+        assert len(got) == len(rows)
+    elif name == "ngram_jaccard":
+        assert len(got) == len({re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(re.findall(r"[^\x00-\x20]+", r[1] or ""))) for r in rows})
+
+
 def test_links_and_classes_equal_brute_force(spark, texts):
     rng, rows = random.Random(4), list(texts)
     for k in range(60):  # groups of near copies
@@ -230,6 +403,23 @@ def test_warc_reads_back(spark, tmp_path):
     want = {i: (h or "").encode() for i, _, h in rows}
     assert all((r["payload_bytes"], r["payload_digest"]) == (len(want[r["page_id"]]), hashlib.sha256(want[r["page_id"]]).hexdigest()) for r in got)
     assert warc.round_trip(pages.limit(0), f"file://{tmp_path}/none").count() == 0
+    # each entry's offset is where its record's member begins, and gzip reads the whole archive
+    for r in got:
+        data = open(f"{tmp_path}/archives/{r['archive']}", "rb").read()
+        fields, _ = warc.parse_record(warc.record_at(data, r["offset"])[0])
+        assert fields["warc-type"] == r["record_type"] and fields["warc-payload-digest"] == f"sha256:{r['payload_digest']}"
+        assert gzip.decompress(data).count(b"WARC/1.1\r\n") >= 1
+
+
+def test_warc_bounds_archives_and_ranges(spark, tmp_path):
+    rng = random.Random(6)
+    pages = spark.createDataFrame([(k, f"http://h{k % 7}.com/{k % 3}", rng.randbytes(300).hex()) for k in range(400)], "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/a", archive_bytes=5000)
+    files = list((tmp_path / "a").rglob("part-*"))
+    assert len(files) > 20 and max(f.stat().st_size for f in files) < 7000
+    got = warc.merge_runs(warc.index_runs(spark, f"file://{tmp_path}/a"), range_rows=30).orderBy("position").collect()
+    keys = [(r["url_key"], r["capture_time"], r["page_id"]) for r in got]
+    assert keys == sorted(keys) and len(keys) == 400
 
 
 def test_loser_tree_merges():
@@ -288,14 +478,12 @@ def test_undetermined(spark):
     assert d.where(held_out(F.lit(None))).count() == 0
 
 
-def test_copies_do_not_thin_the_training_texts(spark, monkeypatch):
-    from kinemill.llm.language import Hierarchy
-
-    seen = []
-    monkeypatch.setattr(Hierarchy, "fit", lambda texts, langs: seen.extend(zip(langs, texts, strict=True)))
+def test_copies_do_not_thin_the_training_texts(spark):
     rows = [("en", "the same text")] * 20_000 + [("en", f"text number {k}") for k in range(1000)] + [("fr", f"texte {k % 3}") for k in range(9000)]
-    train(spark.createDataFrame(rows, "lang string, text string"))
-    assert Counter(k for k, _ in seen) == {"en": 600, "fr": 3} and len(set(seen)) == len(seen)
+    d = spark.createDataFrame(rows, "lang string, text string")
+    for most, want in ((12_000, {"en": 600, "fr": 3}), (20, {"en": 10, "fr": 3})):
+        seen = [(r["l"], r["t"]) for r in sample_texts(d, 600, most, "text", "lang").collect()]
+        assert Counter(k for k, _ in seen) == want and len(set(seen)) == len(seen)
 
 
 def test_pipeline_rejects_what_is_no_learned_language(spark):
@@ -314,24 +502,61 @@ def test_pipeline_rejects_what_is_no_learned_language(spark):
     assert kept == {r["doc_id"] for r in d.select("doc_id").collect()} | {900_000 + k for k, t in enumerate(clean) if re.search(r"[^\W\d_]", t)}
 
 
-def test_chat_round_trip(spark):
+def formatted(turns):
+    return "".join(f"### {chat.escape_role(r or '')}: {chat.escape(t or '')}</turn>\n" for r, t in turns)
+
+
+def test_chat_round_trip(spark, tmp_path):
     says = r"\### Assistant: </turn> ok"
-    rows = [(-7, 0, "user", says), (-7, 1, "assistant", says), (1, 0, None, "a"), (1, 1, "as:#sist\nant", None), (1, 2, "assistant", "##"), (1, 3, "assistant", "### x: </turn>\n"), (1, 4, "user", "tail\\"), (None, 0, "user", "x"), (None, 0, "user", "x"), (2, None, "assistant", "é" * 2000)]
+    rows = [(-7, 0, "user", says), (-7, 1, "assistant", says), (1, 0, None, "a"), (1, 1, "as:#sist\nant", None), (1, 2, "assistant", "##"), (1, 3, "assistant", "### x: </turn>\n"), (1, 4, "user", "tail\\"), (1, 5, "user", "#### Heading"), (None, 0, "user", "x"), (None, 0, "user", "x"), (2, None, "assistant", "é" * 2000), (3, 0, "user", "##### five"), (3, 1, "assistant", "#" * 9 + "</turn></turn>"), (3, 1, "assistant", "#" * 9 + "</turn></turn>")]
     c = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, example int")
-    expanded = chat.expand(c, row_chars=10)
-    got = {r["conv_id"]: r for r in chat.read_back(expanded).collect()}
-    whole = chat.example_texts(expanded).collect()
-    for k, own in {k: [r for r in rows if r[0] == k] for k in {r[0] for r in rows}}.items():
-        all_turns = "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own)
-        loss = "".join(t or "" for _, _, r, t in own if r == "assistant")
-        assert (got[k]["n_turns"], got[k]["turns_sha256"]) == (len(own), hashlib.sha256(all_turns.encode()).hexdigest())
-        assert (got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        mine = sorted((w["example"], w["text"], w["loss_start"], w["loss_end"]) for w in whole if w["conv_id"] == k)
-        assert "".join(chat.unescape(t[a:b]) for _, t, a, b in mine) == loss
-        assert all(t[b:] == "</turn>\n" for _, t, a, b in mine)
+    for row_chars in (10, 1_000_000):
+        expanded = chat.expand(c, row_chars=row_chars)
+        expanded.repartition(7).write.parquet(out := f"{tmp_path}/{row_chars}")
+        got = {r["conv_id"]: r for r in chat.read_back(spark.read.parquet(out)).collect()}
+        straight = {r["conv_id"]: r for r in chat.read_back(expanded, in_order=True).collect()}
+        assert got == straight
+        whole = expanded.collect()
+        for k, own in {k: [r for r in rows if r[0] == k] for k in {r[0] for r in rows}}.items():
+            all_turns = "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own)
+            loss = "".join(t or "" for _, _, r, t in own if r == "assistant")
+            assert (got[k]["n_turns"], got[k]["turns_sha256"]) == (len(own), hashlib.sha256(all_turns.encode()).hexdigest())
+            assert (got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+            mine = sorted((w for w in whole if w["conv_id"] == k), key=lambda w: (w["example"], w["part"]))
+            assert got[k]["formatted_chars"] == sum(len(w["text"]) for w in mine)
+            # every example is all turns up to its reply
+            replies = [i for i, r in enumerate(own) if r[2] == "assistant"]
+            for e, i in enumerate(replies):
+                parts = [w for w in mine if w["example"] == e]
+                assert "".join(w["text"] for w in parts) == formatted([r[2:] for r in own[: i + 1]])
+                end = parts[-1]
+                assert chat.unescape(end["text"][end["loss_start"] : end["loss_end"]]) == (own[i][3] or "") and end["text"][end["loss_end"] :] == "</turn>\n"
+            rest = own[(replies[-1] + 1 if replies else 0) :]
+            assert "".join(w["text"] for w in mine if not w["is_example"]) == formatted([r[2:] for r in rest])
     assert chat.read_back(chat.expand(c.limit(0))).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("#\\</turn>: \nab", max_size=12), st.text("#\\</turn>: \nab", max_size=30)), max_size=5))
+def test_chat_template_is_reversible(turns):
+    assert [(r, t) for r, t, _, _ in chat.parse(formatted(turns))] == turns
+
+
+def test_chat_query_equals_brute_force(spark):
+    c = spark.read.parquet(f"{DATA}/conversations.parquet").orderBy("conv_id", "turn", "role", "text").collect()
+    says = r"\### Assistant: </turn> ok"
+    own = defaultdict(list, {-7: [("user", says), ("assistant", says)]})
+    for r in c:
+        own[r["conv_id"]].append((r["role"], r["text"]))
+    got = {r["conv_id"]: r for r in QUERIES["op9_chat_format"](spark, DATA).collect()}
+    assert set(got) == set(own)
+    for k, turns in own.items():
+        ends = [i + 1 for i, (r, _) in enumerate(turns) if r == "assistant"]
+        assert got[k]["formatted_chars"] == sum(len(formatted(turns[:e])) for e in ends) + len(formatted(turns[(ends or [0])[-1] :]))
+        assert got[k]["loss_sha256"] == hashlib.sha256("".join(t or "" for r, t in turns if r == "assistant").encode()).hexdigest()
+        assert got[k]["n_turns"] == len(turns) and got[k]["n_examples"] == len(ends)
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
