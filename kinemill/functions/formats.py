@@ -113,3 +113,53 @@ def frame_count(declared: Column, shape_frames: Column, frame_numbers: Column) -
 
 def seq_seconds(seconds: Column, milliseconds: Column, microseconds: Column) -> Column:
     return seconds + milliseconds / 1000 + microseconds / 1_000_000
+
+
+def half_even(x: Column) -> Column:
+    """The nearest whole number, ties to the even one."""
+    return F.bround(x, 0).cast("bigint")
+
+
+def csv_cell(text: Column) -> Column:
+    """A cell of a CSV line: quoted if it holds a comma, a quote or a line end."""
+    return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(text, F.lit("")))
+
+
+def stem(path: Column) -> Column:
+    """A file's name without folders and its last ending."""
+    return F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def status_text(status: Column) -> Column:
+    """What an HTTP status means to the reader of a message."""
+    return F.when(status.isin(401, 403), "access denied").when(status == 404, "not found").when(status == 429, "too many requests").when(status >= 500, "server error").otherwise(F.concat(F.lit("status "), status.cast("string")))
+
+
+def yolo_polygon_line(class_id: Column, ring: Column, width: Column, height: Column) -> Column:
+    """A segmentation line: the corners of a closed outer ring without the closing one."""
+    open_ = F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))
+    return F.concat_ws(" ", F.coalesce(class_id, F.lit(0)).cast("string"), F.array_join(F.flatten(F.transform(open_, lambda c: F.array(six(c[0] / width), six(c[1] / height)))), " "))
+
+
+def segmentation_rings(segmentation: Column) -> Column:
+    """Closed rings of a COCO polygon list; those of fewer than three corners go."""
+    corner = lambda flat, i: F.array(F.get(flat, 2 * i), F.get(flat, 2 * i + 1))
+    n = lambda flat: F.floor(F.size(flat) / 2).cast("int")
+    kept = F.filter(segmentation, lambda flat: n(flat) >= 3)
+    ring = lambda flat: F.transform(F.sequence(F.lit(0), n(flat) - 1), lambda i: corner(flat, i))
+    return F.transform(kept, lambda flat: F.concat(ring(flat), F.array(corner(flat, F.lit(0)))))
+
+
+def segmentation_geojson(segmentation: Column) -> Column:
+    """One geometry of all rings of a COCO polygon list; NULL if none is left."""
+    rings = segmentation_rings(segmentation)
+    one = F.concat(F.lit('{"type":"Polygon","coordinates":['), F.to_json(F.get(rings, F.lit(0))), F.lit("]}"))
+    many = F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), F.to_json(F.transform(rings, lambda r: F.array(r))), F.lit("}"))
+    return F.when(F.size(rings) == 1, one).when(F.size(rings) > 1, many)
+
+
+def static_object(name: Column, coords: Column) -> Column:
+    """geometry and category of a static object: a point or several; corners are an arena, others an anchor."""
+    one = F.concat(F.lit('{"type":"Point","coordinates":'), F.to_json(F.get(coords, F.lit(0))), F.lit("}"))
+    many = F.concat(F.lit('{"type":"MultiPoint","coordinates":'), F.to_json(coords), F.lit("}"))
+    return F.struct(F.when(F.size(coords) == 1, one).otherwise(many).alias("geometry"), F.when(name == "corners", "arena").otherwise("anchor").alias("category"))

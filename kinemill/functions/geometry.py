@@ -95,3 +95,25 @@ def rodrigues(rvec: Column) -> Column:
     co, si = F.cos(t), F.sin(t)
     v = 1 - co
     return F.array(F.array(co + x * x * v, x * y * v - z * si, x * z * v + y * si), F.array(y * x * v + z * si, co + y * y * v, y * z * v - x * si), F.array(z * x * v - y * si, z * y * v + x * si, co + z * z * v))
+
+
+def from_xywh(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Corners of a box given by its least corner and size."""
+    return F.struct(x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
+
+
+_RING = "array<array<array<double>>>"
+
+
+def parts_of(geometry: Column) -> Column:
+    """The parts (GeoJSON texts) of a MultiPolygon or GeometryCollection; any other geometry is its own only part."""
+    kind = F.get_json_object(geometry, "$.type")
+    polygons = F.from_json(F.get_json_object(geometry, "$.coordinates"), f"array<{_RING}>")
+    each = F.transform(polygons, lambda rings: F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(rings), F.lit("}")))
+    inner = F.from_json(F.get_json_object(geometry, "$.geometries"), "array<string>")
+    return F.when(kind == "MultiPolygon", each).when(kind == "GeometryCollection", inner).otherwise(F.array(geometry))
+
+
+def rings_of(geometry: Column) -> Column:
+    """Rings of a Polygon's GeoJSON text; NULL for other geometries."""
+    return F.when(F.get_json_object(geometry, "$.type") == "Polygon", F.from_json(F.get_json_object(geometry, "$.coordinates"), _RING))

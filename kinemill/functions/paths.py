@@ -1,9 +1,8 @@
-"""Expressions over file paths and URLs, and driver-side path algebra for the small videos table."""
+"""Expressions over file paths and URLs."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,72 +87,84 @@ def leaf_suffixes(p: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(own)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(own, -k, k), "/").alias("suffix")))
 
 
-@dataclass(frozen=True)
-class Path:
-    """A path of any platform."""
-
-    parts: tuple[str, ...]
-    absolute: bool = False
-    drive: str | None = None
-    share: bool = False
-
-    @classmethod
-    def of(cls, text: str) -> Path:
-        text = text.replace("\\", "/")
-        if text.startswith("//"):
-            return cls(_segments(text), True, None, True)
-        m = re.fullmatch(r"([A-Za-z]:)(.*)", text, re.DOTALL)
-        drive, rest = (m[1], m[2]) if m else (None, text)
-        return cls(_segments(rest), rest.startswith("/"), drive)
-
-    def __str__(self) -> str:
-        root = "//" if self.share else (self.drive or "") + ("/" if self.absolute else "")
-        return root + "/".join(self.parts)
-
-    def under(self, folder: Path) -> Path:
-        return replace(folder, parts=folder.parts + self.parts)
-
-
-def _segments(text: str) -> tuple[str, ...]:
-    return tuple(s for s in text.split("/") if s not in ("", "."))
-
-
-def anchor(stored: str, folder: str) -> str | None:
-    """The part of ``stored`` after the longest tail of ``folder`` that it holds, put under ``folder``."""
-    a, b = Path.of(stored), Path.of(folder)
-    inner = a.parts[:-1]
-    for n in range(min(len(inner), len(b.parts)), 0, -1):
-        for end in range(len(inner), n - 1, -1):
-            if inner[end - n : end] == b.parts[-n:]:
-                return str(Path(inner[end:] + a.parts[-1:]).under(b))
-    return None
-
-
-def candidates(stored: str, folder: str, depth: int = MAX_TAIL) -> list[str]:
-    """Places where a stored path may be found, best first."""
-    p, out = Path.of(stored), []
-    out.append(str(p))
-    if folder:
-        base = Path.of(folder)
-        if not p.absolute and p.drive is None:
-            out.append(str(Path(p.parts).under(base)))
-        out.append(anchor(stored, folder) or "")
-        out += [str(Path(p.parts[-n:]).under(base)) for n in range(min(depth, len(p.parts)), 0, -1)]
-    return list(dict.fromkeys(c for c in out if c))
-
-
-def prefix_swap(stored: str, resolved: str) -> tuple[Path, Path]:
-    """The leading parts that differ, of either path."""
-    a, b = Path.of(stored), Path.of(resolved)
-    n = 0
-    while n < min(len(a.parts), len(b.parts)) and a.parts[-1 - n] == b.parts[-1 - n]:
-        n += 1
-    return replace(a, parts=a.parts[: len(a.parts) - n]), replace(b, parts=b.parts[: len(b.parts) - n])
-
-
-def apply_swap(path: str, swap: tuple[Path, Path]) -> str:
-    p, (old, new) = Path.of(path), swap
-    same_root = (p.absolute, p.drive, p.share) == (old.absolute, old.drive, old.share)
-    if not same_root or p.parts[: len(old.parts)] != old.parts:
-        return str(p)
-    return str(replace(new, parts=new.parts + p.parts[len(old.parts) :]))
+def pieces(p: Column) -> Column:
+    """root and parts of a path of any platform; the root is ``//`` (a share), a drive, ``/`` or empty."""
+    text = F.regexp_replace(p, r"\\", "/")
+    root = F.regexp_extract(text, "^(//|[A-Za-z]:/?|/)", 1)
+    own = F.filter(F.split(F.substr(text, F.length(root) + 1), "/"), lambda s: (s != "") & (s != "."))
+    return F.struct(root.alias("root"), own.alias("parts"))
+
+
+def spelled(path: Column) -> Column:
+    """The text of pieces()."""
+    return F.concat(path["root"], F.array_join(path["parts"], "/"))
+
+
+def _under(folder: Column, parts_: Column) -> Column:
+    return F.concat(folder["root"], F.array_join(F.concat(folder["parts"], parts_), "/"))
+
+
+def _last(parts_: Column, n: Column) -> Column:
+    """The last n parts."""
+    return F.slice(parts_, F.size(parts_) - n + 1, n)
+
+
+def anchor(p: Column, folder: Column) -> Column:
+    """What stands in ``p`` after the longest tail of ``folder`` that its folders hold, put under ``folder``; else NULL.
+
+    Folders are matched as text between slashes, where the last place counts.
+    """
+    path, base = pieces(p), pieces(folder)
+    n = F.size(path["parts"])
+    inner = F.concat(F.lit("/"), F.array_join(F.slice(path["parts"], 1, F.greatest(n - 1, F.lit(0))), "/"), F.lit("/"))
+    file = F.element_at(path["parts"], -1)
+
+    def graft(k: Column) -> Column:
+        tail = F.concat(F.lit("/"), F.array_join(_last(base["parts"], k), "/"), F.lit("/"))
+        after = F.call_function("substring_index", inner, tail, F.lit(-1))
+        return F.when(F.contains(inner, tail), F.concat(spelled(base), F.lit("/"), after, file))
+
+    longest = F.least(n - 1, F.size(base["parts"]))
+    return F.when(longest > 0, F.get(F.filter(F.transform(F.sequence(F.greatest(longest, F.lit(1)), F.lit(1), F.lit(-1)), graft), lambda c: c.isNotNull()), F.lit(0)))
+
+
+def candidates(p: Column, folder: Column, depth: int = MAX_TAIL) -> Column:
+    """Places where a stored path may lie, best first: itself, under the folder if relative, its anchor, its tails."""
+    path, base = pieces(p), pieces(folder)
+    n = F.least(F.size(path["parts"]), F.lit(depth))
+    tails = F.when(n > 0, F.transform(F.sequence(F.greatest(n, F.lit(1)), F.lit(1), F.lit(-1)), lambda k: _under(base, _last(path["parts"], k)))).otherwise(F.array().cast("array<string>"))
+    first = F.array(spelled(path), F.when(path["root"] == "", _under(base, path["parts"])), anchor(p, folder))
+    return F.array_distinct(F.filter(F.concat(first, tails), lambda c: c.isNotNull() & (c != "")))
+
+
+def prefix_swap(stored: Column, found: Column) -> Column:
+    """old and new: the leading pieces of either path before what they share at the end."""
+    a, b = pieces(stored), pieces(found)
+    most = F.least(F.size(a["parts"]), F.size(b["parts"]))
+    shared = F.when(most > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: _last(a["parts"], k) == _last(b["parts"], k)))).otherwise(0)
+    cut = lambda x: F.struct(x["root"].alias("root"), F.slice(x["parts"], 1, F.size(x["parts"]) - shared).alias("parts"))
+    return F.struct(cut(a).alias("old"), cut(b).alias("new"))
+
+
+def apply_swap(p: Column, swap: Column) -> Column:
+    """The path with the new prefix if it begins with the old one, else as it is."""
+    path, old = pieces(p), swap["old"]
+    n = F.size(old["parts"])
+    fits = (path["root"] == old["root"]) & (F.slice(path["parts"], 1, n) == old["parts"])
+    return F.when(fits, _under(swap["new"], F.slice(path["parts"], n + 1, F.greatest(F.size(path["parts"]) - n, F.lit(0))))).otherwise(spelled(path))
+
+
+def unique_videos(videos, query: str, path: str = "path"):
+    """``videos`` that a path names: by the whole path, else by the base name; an error if several share it."""
+    q = F.lit(query)
+    same = F.when(sanitize(F.col(path)) == sanitize(q), 1).when(basename(sanitize(F.col(path))) == basename(sanitize(q)), 2)
+    ranked = videos.withColumn("tier", same).where("tier is not null")
+    best = ranked.where(F.col("tier") == ranked.agg(F.min("tier")).first()[0]) if not ranked.isEmpty() else ranked
+    if best.count() > 1:
+        raise ValueError(f"{redacted(query)} names several videos")
+    return best.drop("tier")
+
+
+def redacted(text: str) -> str:
+    """A path for messages: no user information."""
+    return re.sub(r"(://)[^/?#@]*@", r"\1***:***@", text)

@@ -148,13 +148,22 @@ def skeleton_classes(skeletons: DataFrame, method: str = "structure") -> tuple[D
 
 
 def class_pairs(a: DataFrame, b: DataFrame, method: str = "structure", least: float = 0.5) -> DataFrame:
-    """Pairs of classes (a_class_id, b_class_id, a_nodes, b_nodes). Names meet through a shared node, so disjoint classes never meet."""
+    """Pairs of classes (a_class_id, b_class_id, a_nodes, b_nodes). Names meet through a shared node, so disjoint classes never meet.
+
+    A skeleton without nodes is a subset of every one; an overlap of 0 or less, which every pair has, is an error.
+    """
+    if method == "overlap" and least <= 0:
+        raise ValueError("every pair overlaps by that much")
     left, right = _sided(a, "a", []), _sided(b, "b", [])
     if method in ("exact", "structure"):
         return left.join(right, F.col("a_key") == F.col("b_key")).drop("a_key", "b_key")
     shared = left.withColumn("__n", F.explode("a_nodes")).join(right.withColumn("__m", F.explode("b_nodes")), F.col("__n") == F.col("__m"))
     met = shared.select("a_class_id", "b_class_id", "a_nodes", "b_nodes").distinct()
-    return met.where(S.matches(F.col("a_nodes"), F.col("b_nodes"), method, least))
+    met = met.where(S.matches(F.col("a_nodes"), F.col("b_nodes"), method, least))
+    if method == "subset":  # of classes by names, one at most has none
+        empty = left.where(F.size("a_nodes") == 0).select(F.lit(1).alias("__k"), "a_class_id", "a_nodes")
+        met = met.unionByName(empty.join(right.withColumn("__k", F.lit(1)), "__k").select("a_class_id", "b_class_id", "a_nodes", "b_nodes"))
+    return met
 
 
 def skeleton_matches(a: DataFrame, b: DataFrame, method: str = "structure", least: float = 0.5) -> DataFrame:
@@ -171,11 +180,24 @@ def first_match(incoming: DataFrame, base: DataFrame, on: str, id_col: str, ord_
 
 
 def track_map(incoming: DataFrame, base: DataFrame, method: str = "identity") -> DataFrame:
-    """(track_id, base_id, is_new): by ``name`` or by ``identity``; unmatched names that repeat fall together."""
+    """(track_id, base_id, is_new): by ``name`` or by ``identity``; unmatched names that repeat fall together.
+
+    A track without a name (or identity) matches none and stays a track of its own.
+    """
     on = "name" if method == "name" else "track_uid"
-    found = first_match(incoming, base, on, "track_id", "ord")
-    canon = F.min("track_id").over(Window.partitionBy(on))
-    return found.select("track_id", on, F.coalesce("base_id", canon).alias("base_id"), F.col("base_id").isNull().alias("is_new"))
+    found = first_match(incoming, base.where(F.col(on).isNotNull()), on, "track_id", "ord")
+    canon = incoming.where(F.col(on).isNotNull()).groupBy(on).agg(F.min("track_id").alias("__canon"))
+    out = found.join(canon, on, "left")
+    return out.select("track_id", on, F.coalesce("base_id", "__canon", "track_id").alias("base_id"), F.col("base_id").isNull().alias("is_new"))
+
+
+def skeleton_map(incoming: DataFrame, base: DataFrame, offset: int) -> DataFrame:
+    """(skeleton_id, new_skeleton): the first skeleton of the same structure, else the id after ``offset``; equal new ones fall together."""
+    key = S.structure_key(F.col("nodes"), F.col("edges"), F.col("symmetries"))
+    first = base.select("skeleton_id", key.alias("key")).groupBy("key").agg(F.min("skeleton_id").alias("base_id"))
+    own = incoming.select("skeleton_id", key.alias("key"))
+    canon = own.groupBy("key").agg(F.min("skeleton_id").alias("canon"))
+    return own.join(canon, "key").join(first, "key", "left").select("skeleton_id", F.coalesce("base_id", F.col("canon") + offset).alias("new_skeleton"), (F.col("base_id").isNull() & (F.col("canon") == F.col("skeleton_id"))).alias("is_new"))
 
 
 def leaf_matches(incoming: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def split_sizes(n: int, part: float | int) -> tuple[int, int]:
 
 
 def random_numbers(seed: int = 0x9E3779B9):
-    """The 32-bit generator of the seeded splits: numbers in [0, 1)."""
+    """The 32-bit generator of the seeded splits: numbers in [0, 1). Its constants are fixed values."""
     state, mask = seed & 0xFFFFFFFF, 0xFFFFFFFF
     while True:
         state = (state + 0x6D2B79F5) & mask
@@ -111,15 +111,73 @@ def random_numbers(seed: int = 0x9E3779B9):
         yield ((t ^ (t >> 14)) & mask) / 4294967296
 
 
+def drawn(n: int, k: int, seed: int = 0x9E3779B9) -> list[int]:
+    """k different numbers below n in the order in which the seeded splits draw them; memory grows with k, not n."""
+    at: dict[int, int] = {}  # numbers that lie elsewhere than at their own place
+    out = []
+    for i, r in zip(range(min(k, n)), random_numbers(seed), strict=False):
+        j = i + int(r * (n - i))
+        out.append(at.get(j, j))
+        at[j] = at.get(i, i)
+    return out
+
+
 def split(rows: DataFrame, key: str, part: float | int, seed: int = 7) -> DataFrame:
-    """rows with ``in_first`` and ``in_second``: exact sizes, drawn by a seeded hash of the key."""
+    """rows with ``in_first`` and ``in_second``: exact sizes, drawn by a seeded hash of the key.
+
+    The hash is uniform, so the last one of the first part lies near a known value: rows well below it are in, rows well
+    above are out, and only the few between are ranked.
+    """
+    first, _ = split_sizes(n := rows.count(), part)
+    if n <= 1:
+        return rows.withColumn("in_first", F.lit(True)).withColumn("in_second", F.lit(True))
+    marked = rows.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    middle, slack = first / n * 2.0**64 - 2.0**63, 8 * n**0.5 / n * 2.0**64
+    lo, hi = (max(-(2**63), min(2**63 - 1, int(v))) for v in (middle - slack, middle + slack))
+    below, near = marked.agg(F.count_if(F.col("__h") < lo), F.count_if(F.col("__h").between(lo, hi))).first()
+    if not below <= first <= below + near:  # many rows share a key
+        lo, hi, below = -(2**63), 2**63 - 1, 0
+    between = marked.where(F.col("__h").between(lo, hi))
+    ranked = between.withColumn("in_first", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__h", key)) <= first - below)
+    rest = marked.where(~F.col("__h").between(lo, hi)).withColumn("in_first", F.col("__h") < lo)
+    return rest.unionByName(ranked).drop("__h").withColumn("in_second", ~F.col("in_first"))
+
+
+def drawn_split(rows: DataFrame, key: str, part: float | int, seed: int = 0x9E3779B9) -> DataFrame:
+    """rows with ``in_first`` and ``in_second`` by the generator of the seeded splits over the rows in the order of ``key``.
+
+    The draw is one after another, so the drawn numbers pass through the driver; ``split`` has no such bound.
+    """
+    from .windows import global_rank
+
     first, _ = split_sizes(n := rows.count(), part)
     if n <= 1:
         return rows.withColumn("in_first", F.lit(True)).withColumn("in_second", F.lit(True))
-    mark = F.xxhash64(F.col(key), F.lit(seed))
-    # the hash below which the first part lies: a top-k of hashes, merged from the tasks' own
-    ranked = rows.select(F.col(key).alias("__k"), mark.alias("__h")).orderBy("__h", "__k").limit(first)
-    return rows.join(ranked.select(F.col("__k").alias(key), F.lit(True).alias("in_first")), key, "left").withColumn("in_first", F.coalesce("in_first", F.lit(False))).withColumn("in_second", ~F.col("in_first"))
+    chosen = rows.sparkSession.createDataFrame([(i,) for i in drawn(n, first, seed)], "__pos long").withColumn("in_first", F.lit(True))
+    out = global_rank(rows, key, [], "__pos").join(chosen, "__pos", "left").drop("__pos")
+    return out.withColumn("in_first", F.coalesce("in_first", F.lit(False))).withColumn("in_second", ~F.col("in_first"))
+
+
+def three_way_sizes(total: int, train: float, val: float, test: float) -> dict[str, int]:
+    """Sizes of train, test and val: each a fraction of what is left that makes its share of the whole."""
+    n_train, rest = split_sizes(total, train)
+    n_test, rest = split_sizes(rest, test * total / max(1, rest)) if test * total / max(1, rest) < 1 else (min(int(test * total / max(1, rest)), rest), rest - min(int(test * total / max(1, rest)), rest))
+    share = val * total / max(1, rest)
+    n_val = rest if share == 1.0 else split_sizes(rest, share if share < 1 else int(share))[0]
+    return {"train": n_train, "val": n_val, "test": n_test}
+
+
+def three_way_split(rows: DataFrame, key: str, train: float = 0.6, val: float = 0.2, test: float = 0.2, seed: int = 7) -> DataFrame:
+    """rows with ``split``: train, test, val, or NULL for those that no part takes."""
+    n = three_way_sizes(rows.count(), train, val, test)
+    one = split(rows, key, n["train"], seed)
+    rest = one.where("not in_first").drop("in_first", "in_second")
+    two = split(rest, key, n["test"], seed + 1)
+    left = split(two.where("not in_first").drop("in_first", "in_second"), key, n["val"], seed + 2)
+    parts = [(one, "train"), (two, "test"), (left, "val")]
+    named = [d.where("in_first").drop("in_first", "in_second").withColumn("split", F.lit(name)) for d, name in parts]
+    unused = left.where("not in_first").drop("in_first", "in_second").withColumn("split", F.lit(None).cast("string"))
+    return reduce(DataFrame.unionByName, [*named, unused])
 
 
 def by_source_order(rows: DataFrame, source: DataFrame, name: str = "name", ord_: str = "ord") -> DataFrame:

@@ -35,14 +35,15 @@ def segments(points: DataFrame, key: list[str]) -> DataFrame:
     return out.where("x is not null and y is not null and x2 is not null and y2 is not null")
 
 
-def _ranged(rows: DataFrame, order: str, buckets: int) -> DataFrame:
-    """rows with ``__b``, the number of their range of ``order``; about as many rows in each."""
+def _ranged(rows: DataFrame, order: str, buckets: int | None) -> DataFrame:
+    """rows with ``__b``, the number of their range of ``order``; about as many rows in each. As many as there are shuffle partitions, 64 at least."""
+    buckets = buckets or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({*rows.select(F.col(order).cast("double").alias("v")).approxQuantile("v", [k / buckets for k in range(1, buckets)], 1 / (8 * buckets))})
     grid = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
     return rows.withColumn("__b", F.size(F.filter(grid, lambda c: c <= F.col(order).cast("double"))))
 
 
-def global_rank(rows: DataFrame, order: str, ties: list[str], name: str = "pos", buckets: int = 64) -> DataFrame:
+def global_rank(rows: DataFrame, order: str, ties: list[str], name: str = "pos", buckets: int | None = None) -> DataFrame:
     """rows numbered from 0 over the whole table in ascending ``order``, then ``ties``, in two phases as ``running_offsets``."""
     ranged = _ranged(rows, order, buckets)
     totals = ranged.groupBy("__b").agg(F.count("*").alias("__t"))
@@ -51,7 +52,7 @@ def global_rank(rows: DataFrame, order: str, ties: list[str], name: str = "pos",
     return ranged.join(F.broadcast(before), "__b").withColumn(name, (F.col("__base") + rank - 1).cast("bigint")).drop("__b", "__base")
 
 
-def running_offsets(rows: DataFrame, order: str, size: str, buckets: int = 64) -> DataFrame:
+def running_offsets(rows: DataFrame, order: str, size: str, buckets: int | None = None) -> DataFrame:
     """rows with ``start`` and ``end``: running sums of ``size`` in ascending ``order`` over the whole table.
 
     Two phases, so that no task gets the whole table: sums within ranges of ``order``, then the ranges' totals (one
@@ -75,7 +76,7 @@ def runs(rows: DataFrame, group: list[str], order: str, bit: str) -> DataFrame:
 
 
 def first_appearance_ids(objects: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """(name, label_id) in the order in which names first appear; rows without a name get ids of their own after."""
+    """(name, label_id) in the order in which names first appear; ``label_images.normalize`` also numbers objects without one."""
     named = objects.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(F.struct(*order)).alias("__o"))
     w = Window.partitionBy(F.lit(0)).orderBy("__o")  # one row a distinct name
     return named.withColumn("label_id", F.row_number().over(w)).drop("__o")

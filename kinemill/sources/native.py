@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from .. import schema
-from ..operators import aggregates, lifecycle, matching, merge, select
-from ..operators.windows import running_offsets
+from ..functions import geometry
+from ..operators import aggregates, annotations, lifecycle, matching, merge, select
+from ..operators.windows import global_rank, running_offsets
 
 LABELS: dict[str, str] = {
     "frames": "frame_id bigint, video bigint, frame_idx bigint, instance_id_start bigint, instance_id_end bigint",
@@ -26,6 +28,9 @@ LABELS: dict[str, str] = {
 }
 
 
+_SESSIONS = ("cameras", "session_videos", "instance_groups", "instance_group_members")
+
+
 @dataclass(frozen=True)
 class PoseDataset:
     """Named tables; those that are missing are empty."""
@@ -72,33 +77,92 @@ class PoseDataset:
     def merge(self, other: PoseDataset, strategy: str = "auto", matcher: matching.InstanceMatcher = matching.SPATIAL, video_method: str = "auto", track_method: str = "identity") -> tuple[PoseDataset, DataFrame]:
         """The merged dataset and the conflicts.
 
-        Videos, then tracks of ``other`` are mapped (new ones get ids after base's), then frames and suggestions meet.
+        Videos, tracks and skeletons of ``other`` are mapped (new ones get ids after base's), then the frames that both
+        have are merged, instances and each kind of annotation by the strategy; all else is taken over with new ids.
         Dimension maps are small and AQE broadcasts them by their size.
         """
         top = lambda d, c: d.agg(F.coalesce(F.max(c), F.lit(-1))).first()[0] + 1
         videos, tracks = matching.video_map(other.videos, self.videos, video_method), matching.track_map(other.tracks, self.tracks, track_method)
-        v0, t0 = top(self.videos, "video_id"), top(self.tracks, "track_id")
-        f0, i0 = top(self.frames, "frame_id"), top(self.instances, "instance_id")
-        vmap = videos.select(F.col("video_id"), F.coalesce("base_id", F.col("video_id") + v0).alias("new_video"))
+        v0, t0, s0 = top(self.videos, "video_id"), top(self.tracks, "track_id"), top(self.skeletons, "skeleton_id")
+        f0, i0, p0 = top(self.frames, "frame_id"), top(self.instances, "instance_id"), top(self.identities, "identity_id")
+        # every table needs these; what is lost of them is made again
+        videos, tracks, skeletons = (d.persist() for d in (videos, tracks, matching.skeleton_map(other.skeletons, self.skeletons, s0)))
+        vmap = videos.select("video_id", F.coalesce("base_id", F.col("video_id") + v0).alias("new_video"))
         tmap = tracks.select("track_id", F.when(F.col("is_new"), F.col("base_id") + t0).otherwise(F.col("base_id")).alias("new_track"))
-        frames = other.frames.join(vmap, "video_id").withColumn("video_id", F.col("new_video")).withColumn("frame_id", F.col("frame_id") + f0).drop("new_video")
-        mine = self.instances.join(self.frames.select("frame_id", "video_id", "frame_idx"), "frame_id")
-        theirs = other.instances.withColumn("frame_id", F.col("frame_id") + f0).withColumn("instance_id", F.col("instance_id") + i0).withColumn("from_predicted", F.col("from_predicted") + i0)
-        theirs = theirs.join(tmap, "track_id", "left").withColumn("track_id", F.col("new_track")).drop("new_track").join(frames.select("frame_id", "video_id", "frame_idx"), "frame_id").select(*mine.columns)
         key = ["video_id", "frame_idx"]
-        shared = self.frames.join(frames, key, "left_semi").select(*key).distinct()
+        frames = other.frames.join(vmap, "video_id").withColumn("video_id", F.col("new_video")).withColumn("frame_id", F.col("frame_id") + f0).drop("new_video")
+        all_frames = self.frames.unionByName(frames.join(self.frames, key, "left_anti").select(*self.frames.columns))
+        ids = select.last_frames(all_frames).select("frame_id", *key).persist()
+        shared = self.frames.join(frames, key, "left_semi").select(*key).distinct().persist()
+
+        def moved(t: DataFrame, id_col: str, offset: int) -> DataFrame:
+            """Rows of other with the ids of the merged dataset, and their frame's key."""
+            up = {id_col: offset, "instance_id": i0, "from_predicted": offset, "identity_id": p0, "frame_id": f0}
+            t = t.select(*((F.col(c) + up[c]).alias(c) if c in up else F.col(c) for c in t.columns if c not in key))
+            if "track_id" in t.columns:
+                t = t.join(tmap, "track_id", "left").withColumn("track_id", F.col("new_track")).drop("new_track")
+            if "skeleton_id" in t.columns:
+                t = t.join(skeletons.select("skeleton_id", "new_skeleton"), "skeleton_id", "left").withColumn("skeleton_id", F.coalesce("new_skeleton", "skeleton_id")).drop("new_skeleton")
+            return t.join(frames.select("frame_id", *key), "frame_id")
+
+        def placed(t: DataFrame) -> DataFrame:
+            """With the frame of the merged dataset; what a later step added stands behind."""
+            last = F.max("ord").over(Window.partitionBy(*key)) + 1
+            return t.drop("frame_id").join(ids, key).withColumn("ord", (F.col("ord") + F.col("step") * last).cast("int"))
+
+        mine = self.instances.join(self.frames.select("frame_id", *key), "frame_id")
+        theirs = moved(other.instances, "instance_id", i0).select(*mine.columns)
         merged, conflicts = merge.merge_instances(mine.join(shared, key, "left_semi"), theirs.join(shared, key, "left_semi"), key, strategy, matcher)
-        alone = [t.join(shared, key, "left_anti").withColumn("source", F.lit(s)).withColumn("step", F.lit(0)) for t, s in ((mine, "self"), (theirs, "other"))]
-        new_frames = frames.join(self.frames, key, "left_anti").select(*self.frames.columns)
-        all_frames = self.frames.unionByName(new_frames)
-        ids = select.last_frames(all_frames).select("frame_id", *key)
-        instances = merged.unionByName(alone[0]).unionByName(alone[1]).drop("frame_id").join(ids, key).withColumn("ord", F.col("ord") + F.col("step") * 1_000_000)
-        dims = lambda d, m, c, n, off: d.unionByName(m, allowMissingColumns=True)
+        alone = lambda t, source: t.join(shared, key, "left_anti").withColumn("source", F.lit(source)).withColumn("step", F.lit(0))
+        changed = {"frames": all_frames, "instances": schema.conform(placed(merged.unionByName(alone(mine, "self")).unionByName(alone(theirs, "other"))), "instances")}
+        for kind, id_col in annotations.KINDS.items():
+            if kind not in self.tables and kind not in other.tables:
+                continue
+            own, more = self._annotated(kind), other._annotated(kind)
+            offset = top(own, id_col)
+            a = own.drop("video_id").join(self.frames.select("frame_id", *key), "frame_id")
+            b = moved(more, id_col, offset).select(*a.columns)
+            both = annotations.merge_annotations(a.join(shared, key, "left_semi"), b.join(shared, key, "left_semi"), key, id_col, strategy, matcher.threshold if matcher.method == "spatial" else 5.0, kind == "label_images")
+            out = schema.conform(placed(both.unionByName(alone(a, "self")).unionByName(alone(b, "other"))), kind)
+            if kind == "rois":  # static regions belong to a video, not to a frame
+                still = other.rois.where("is_static").join(vmap, "video_id").withColumn("video_id", F.col("new_video")).withColumn("roi_id", F.col("roi_id") + offset)
+                out = out.unionByName(self.rois.where("is_static")).unionByName(schema.conform(still, "rois"))
+            if kind == "label_images":
+                objects = other.label_image_objects.withColumn("label_image_id", F.col("label_image_id") + offset).withColumn("instance_id", F.col("instance_id") + i0).join(tmap, "track_id", "left").withColumn("track_id", F.col("new_track")).drop("new_track")
+                changed["label_image_objects"] = self.label_image_objects.unionByName(schema.conform(objects, "label_image_objects")).join(out.select("label_image_id"), "label_image_id", "left_semi")
+            changed[kind] = out
         new_tracks = other.tracks.join(tracks.where("is_new and track_id = base_id").select("track_id"), "track_id", "left_semi").withColumn("track_id", F.col("track_id") + t0)
         new_videos = other.videos.join(videos.where("base_id is null").select("video_id"), "video_id", "left_semi").withColumn("video_id", F.col("video_id") + v0)
-        suggestions = merge.merge_suggestions(self.suggestions, other.suggestions.join(vmap, "video_id").withColumn("video_id", F.col("new_video")).drop("new_video"))
-        out = self.with_tables(frames=all_frames, instances=schema.conform(instances, "instances"), tracks=dims(self.tracks, new_tracks, "track_id", "tracks", t0), videos=dims(self.videos, new_videos, "video_id", "videos", v0), suggestions=suggestions)
-        return out, conflicts
+        new_skeletons = other.skeletons.join(skeletons.where("is_new").select("skeleton_id"), "skeleton_id", "left_semi").withColumn("skeleton_id", F.col("skeleton_id") + s0)
+        changed |= {n: t.unionByName(m, allowMissingColumns=True) for n, t, m in (("tracks", self.tracks, new_tracks), ("videos", self.videos, new_videos), ("skeletons", self.skeletons, new_skeletons))}
+        changed["identities"] = self.identities.unionByName(other.identities.withColumn("identity_id", F.col("identity_id") + p0))
+        changed["suggestions"] = merge.merge_suggestions(self.suggestions, other.suggestions.join(vmap, "video_id").withColumn("video_id", F.col("new_video")).drop("new_video"))
+        if any(n in other.tables for n in _SESSIONS):
+            c0, g0 = top(self.cameras, "session_id"), top(self.instance_groups, "group_id")
+            frame_of = frames.join(ids.withColumnRenamed("frame_id", "__frame"), key).select("frame_id", "__frame")
+            up = {"session_id": c0, "group_id": g0, "identity_id": p0, "frame_id": f0}
+            for name in _SESSIONS:
+                t = getattr(other, name)
+                t = t.select(*((F.col(c) + up[c]).alias(c) if c in up else F.col(c) for c in t.columns))
+                if name == "session_videos":
+                    t = t.join(vmap, "video_id").withColumn("video_id", F.col("new_video"))
+                if name == "instance_group_members":
+                    t = t.join(frame_of, "frame_id").withColumn("frame_id", F.col("__frame"))
+                changed[name] = getattr(self, name).unionByName(schema.conform(t, name))
+        return self.with_tables(**changed), conflicts
+
+    def _annotated(self, kind: str) -> DataFrame:
+        """Annotations of frames with the place (x, y) at which they meet others."""
+        t = getattr(self, kind)
+        if kind == "rois":
+            t = t.where("not coalesce(is_static, false)")
+        for c in ("track_id", "tracking_score", "from_predicted"):
+            if c not in t.columns:
+                t = t.withColumn(c, F.lit(None).cast("double" if c == "tracking_score" else "bigint"))
+        if kind == "centroids":
+            return t
+        at = annotations.place(kind, geometry.rings_of(F.col("geometry")) if kind == "rois" else None)
+        return t.withColumn("__at", at).withColumn("x", F.col("__at.x")).withColumn("y", F.col("__at.y")).drop("__at")
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
         for name, t in self.tables.items():
@@ -150,8 +214,7 @@ def assemble(labels: dict[str, DataFrame], format_id: float = 2.8, n_skeletons:
 
 def flatten(frames: DataFrame, instances: DataFrame) -> dict[str, DataFrame]:
     """The label tables with running ids: frames by id, instances by (frame, ord), points by (instance, node)."""
-    one = instances.withColumn("__one", F.lit(1)).withColumn("__key", F.col("frame_id") * 1_000_000 + F.col("ord"))
-    numbered = running_offsets(one, "__key", "__one").withColumn("new_id", F.col("start")).drop("start", "end", "__one")
+    numbered = global_rank(instances, "frame_id", ["ord", "instance_id"], "new_id")
     kinds = []
     for predicted in (False, True):
         part = numbered.where(F.col("is_predicted") == predicted).withColumn("__n", F.size(F.coalesce("points", F.array().cast(schema.POINTS))))
@@ -206,8 +269,17 @@ class SlpReader(DataSourceReader):
     def read(self, partition: _Rows):
         with self._open() as f:
             rows = f[self.table][partition.lo : partition.hi]
-        for i, r in enumerate(rows):
-            yield tuple(partition.lo + i if name == "row" else r[name].item() if name in rows.dtype.names else None for name in self.fields)
+        yield self.batch(rows, partition.lo)
+
+    def batch(self, rows, first: int):
+        """An Arrow batch of a structured array; a field that the file lacks is NULL."""
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(StructType.fromDDL(LABELS[self.table]))
+        column = lambda f: pa.array(np.arange(first, first + len(rows))) if f.name == "row" else pa.array(np.ascontiguousarray(rows[f.name])) if f.name in rows.dtype.names else pa.nulls(len(rows))
+        return pa.RecordBatch.from_arrays([column(f).cast(f.type) for f in kinds], schema=kinds)
 
 
 class SlpDataSource(DataSource):

@@ -46,9 +46,51 @@ def read_yolo(spark: SparkSession, root: str, width: int, height: int, n_keypoin
     return yolo_lines(lines, F.lit(width), F.lit(height), n_keypoints, names)
 
 
-def write_yolo(lines: DataFrame, path: str) -> None:
-    """``lines`` (split, image, line): a folder of label text for each split and image."""
-    lines.select("split", "image", F.col("line").alias("value")).write.partitionBy("split", "image").text(path)
+def write_yolo(lines: DataFrame, path: str, names: dict[int, str] | None = None) -> int:
+    """``lines`` (split, image, line) as ``split/labels/image.txt`` under ``path``, a folder that driver and executors mount; the number of files.
+
+    A task writes whole files under other names and renames them, so one that runs again leaves the same files.
+    """
+    import os
+    import uuid
+
+    import pyarrow as pa
+
+    per = lines.groupBy("split", "image").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for split, image, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = os.path.join(path, split, "labels")
+                os.makedirs(folder, exist_ok=True)
+                new = os.path.join(folder, f".{uuid.uuid4().hex}")
+                with open(new, "w", encoding="utf-8") as f:
+                    f.write(text + "\n" if text else "")
+                os.replace(new, os.path.join(folder, f"{image}.txt"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    n = per.select("split", "image", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    if names is not None:
+        with open(os.path.join(path, "data.yaml"), "w", encoding="utf-8") as f:
+            f.write(data_yaml([r["split"] for r in lines.select("split").distinct().orderBy("split").collect()], names))
+    return n
+
+
+def data_yaml(splits: list[str], names: dict[int, str], skeleton: tuple[list[str], list[tuple[int, int]]] | None = None, task: str = "pose") -> str:
+    """The dataset's description: class names, splits, and for poses the keypoints and edges of a skeleton."""
+    out = ["path: .", "names:", *(f"  {k}: {quoted_yaml(v)}" for k, v in sorted(names.items()))]
+    if task != "pose":
+        out.append(f"task: {task}")
+    elif skeleton is not None:
+        nodes, edges = skeleton
+        out += [f"kpt_shape: [{len(nodes)}, 3]", f"flip_idx: [{', '.join(map(str, range(len(nodes))))}]", f"skeleton: [{', '.join(f'[{a}, {b}]' for a, b in edges)}]", f"node_names: [{', '.join(map(quoted_yaml, nodes))}]"]
+    return "\n".join([*out, *(f"{s}: {s}/images" for s in splits)]) + "\n"
+
+
+def quoted_yaml(text: str) -> str:
+    import json
+
+    return json.dumps(text, ensure_ascii=False)
 
 
 # ---- Tracking spots --------------------------------------------------------------------------------------
@@ -68,6 +110,7 @@ def _after_header(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.where(F.col(names[1]).try_cast("double").isNotNull() | (F.col(names[1]) == "")).select(*(F.col(n).try_cast(c.split()[1]).alias(n) for n, c in zip(names, schema.split(", "), strict=True)))
 
 
+# Columns of the formats.
 SPOTS = "label string, id bigint, track_id bigint, quality double, x double, y double, z double, t double, frame bigint, radius double, visibility int"
 EDGES = "label string, track_id bigint, source_id bigint, target_id bigint, link_cost double, speed double, displacement double"
 

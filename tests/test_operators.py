@@ -107,10 +107,24 @@ def test_coco_run_lengths():
     assert R.coco_counts("03") == [0, 3]
 
 
-def test_paths():
-    assert paths.candidates("/home/u/code/proj/2026/raw/i.jpg", "L:/code/proj/2026")[:2] == ["/home/u/code/proj/2026/raw/i.jpg", "L:/code/proj/2026/raw/i.jpg"]
-    assert str(paths.Path.of("\\\\srv\\share\\a.mp4")) == "//srv/share/a.mp4"
-    assert paths.apply_swap("/a/b/2.png", paths.prefix_swap("/a/b/1.png", "D:/x/b/1.png")) == "D:/x/b/2.png"
+def test_paths(spark):
+    rows = [
+        ("/home/u/code/proj/2026/raw/i.jpg", "L:/code/proj/2026", ["/home/u/code/proj/2026/raw/i.jpg", "L:/code/proj/2026/raw/i.jpg"]), ("a/./b.png", "/x", ["a/b.png", "/x/a/b.png", "/x/b.png"]),
+        ("\\\\srv\\share\\a.mp4", "/d", ["//srv/share/a.mp4", "/d/srv/share/a.mp4", "/d/share/a.mp4", "/d/a.mp4"]), ("C:\\p\\q\\p\\v.mp4", "/m/p", ["C:/p/q/p/v.mp4", "/m/p/v.mp4", "/m/p/p/q/p/v.mp4"]),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "p string, f string").withColumn("i", F.monotonically_increasing_id())
+    got = [r[0] for r in df.orderBy("i").select(paths.candidates(F.col("p"), F.col("f"))).collect()]
+    assert [g[: len(w)] for g, (_, _, w) in zip(got, rows, strict=True)] == [w for _, _, w in rows] and all(len(g) == len(set(g)) for g in got)
+    swap = paths.prefix_swap(F.lit("/a/b/1.png"), F.lit("D:/x/b/1.png"))
+    assert spark.range(1).select(*(paths.apply_swap(F.lit(p), swap) for p in ("/a/b/2.png", "/c/b/2.png", "/a/3.png", "a/b"))).first() == ("D:/x/b/2.png", "/c/b/2.png", "D:/x/3.png", "a/b")
+
+
+def test_one_video_of_a_path(spark):
+    v = spark.createDataFrame([(1, "/a/x.mp4"), (2, "/b/x.mp4"), (3, "C:\\c\\y.mp4")], "video_id long, path string")
+    assert [r["video_id"] for r in paths.unique_videos(v, "/a//x.mp4").collect()] == [1]
+    assert [r["video_id"] for r in paths.unique_videos(v, "/q/y.mp4").collect()] == [3] and paths.unique_videos(v, "z").count() == 0
+    with pytest.raises(ValueError):
+        paths.unique_videos(v, "x.mp4")
 
 
 def test_colors(spark):
