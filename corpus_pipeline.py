@@ -20,7 +20,7 @@ PREDICTED = "_lang_pred"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told (their text is like texts of a learned one); a null lang becomes the predicted one."""
-    found = identify(docs, train(docs), docs.columns, reject=True, result_cols=(PREDICTED, "_score"))
+    found = identify(docs, train(docs, bounds=True), docs.columns, reject=True, result_cols=(PREDICTED, "_score"))
     told = found.columns[len(docs.columns)]  # its name, unless docs has a column of it
     return found.where(F.col(told) != UNDETERMINED).withColumn("lang", F.coalesce("lang", told)).select(*docs.columns)
 

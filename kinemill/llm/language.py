@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, joined, slices, small, texts_of
+from .common import discard, fresh, joined, scratch_path, slices, small, texts_of
 
 UNDETERMINED = "und"
 DIMENSIONS = 2048
 _LETTER = re.compile(r"[^\W\d_]")
+#: Rows of one a language that go to every task: at most some MB.
+MOST_BROADCAST = 100_000
 #: Of a language with fewer texts no bound is learned.
 LEAST_TEXTS = 20
 _OTHERS = bytes(b for b in range(128) if not chr(b).isalpha())
@@ -95,18 +97,6 @@ def families_of(means: np.ndarray, alike: float) -> list[list[int]]:
     return groups
 
 
-@dataclass
-class Sample:
-    """Features of the training texts, and of cuts of them."""
-
-    langs: list[str]
-    whole: np.ndarray  # a profile each
-    size: np.ndarray  # magnitudes; 0 without a letter
-    cuts: np.ndarray
-    cut_size: np.ndarray
-    cut_of: np.ndarray  # the text that it is a part of
-
-
 @dataclass
 class Hierarchy:
     languages: list[str]
@@ -118,15 +108,14 @@ class Hierarchy:
     bounds: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, sample: Sample, alike: float = 0.93) -> Hierarchy:
-        languages = sorted(set(sample.langs))
+    def fit(cls, langs: list[str], profiles_: np.ndarray, alike: float = 0.93) -> Hierarchy:
+        languages = sorted(set(langs))
         model = cls(languages)
-        label = np.array([languages.index(v) for v in sample.langs], int)
-        model.calibrate(sample, label)
+        label = np.array([languages.index(v) for v in langs], int)
         if len(languages) < 2:
             model.families = [[i] for i in range(len(languages))]
             return model
-        x = sample.whole.astype(np.float64)
+        x = profiles_.astype(np.float64)
         model.families = families_of(np.array([x[label == k].mean(0) for k in range(len(languages))]), alike)
         own = {k: f for f, members in enumerate(model.families) for k in members}
         family = np.array([own[k] for k in label])
@@ -138,28 +127,15 @@ class Hierarchy:
                 model.pairs[a, b] = linear_svm(x[at], np.where(label[at] == a, 1.0, -1.0))
         return model
 
-    def calibrate(self, sample: Sample, label: np.ndarray) -> None:
-        """Bounds from each language's texts and cuts of them, half by half under the frequencies of the other half.
+    def calibrate(self, found: dict[int, list[tuple[float, int]]]) -> None:
+        """Bounds from the likelihoods and magnitudes of each language's texts and cuts.
 
         A bound is the least likelihood at a magnitude or any above, less a quarter of its distance to the median and
         0.4 at least, so that text of the language stays at any length.
         """
-        n = len(self.languages)
-        self.logs, self.bounds = np.zeros((DIMENSIONS, n)), np.full((n, 16), -np.inf)
-        frequencies = lambda x: np.log(np.square(x, dtype=np.float64).mean(0) + 1e-6)
-        for k in range(n):
-            texts = np.flatnonzero((label == k) & (sample.size > 0))
-            if len(texts) < LEAST_TEXTS:
-                continue
-            self.logs[:, k] = frequencies(sample.whole[texts])
-            found, sizes = [], []
-            for part, rest in ((texts[::2], texts[1::2]), (texts[1::2], texts[::2])):
-                logs = frequencies(sample.whole[rest])
-                cut = np.flatnonzero(np.isin(sample.cut_of, part) & (sample.cut_size > 0))
-                for x, size in ((sample.whole[part], sample.size[part]), (sample.cuts[cut], sample.cut_size[cut])):
-                    found.append(np.square(x, dtype=np.float64) @ logs)
-                    sizes.append(size)
-            value, size = np.concatenate(found), np.concatenate(sizes)
+        self.bounds = np.full((len(self.languages), 16), -np.inf)
+        for k, pairs in found.items():
+            value, size = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
             bound, told = np.inf, [m for m in range(16) if (size == m).sum() >= LEAST_TEXTS]
             for m in told[::-1]:
                 at = value[size == m]
@@ -214,42 +190,71 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_texts(docs: DataFrame, per_language: int, max_texts: int, text_col: str, lang_col: str) -> DataFrame:
-    """(l, h, t): of each language the distinct texts with the smallest hashes."""
+    """(l, h, t, r): of each language the distinct texts with the smallest hashes, numbered from 1 by them."""
     labelled = docs.select(docs[lang_col].alias("l"), docs[text_col].alias("t")).where("l is not null and t is not null")
     hashed = labelled.withColumn("h", F.xxhash64("t", "l"))
     # Texts are counted once, as they train: copies share a hash, so they would fall under the cut or over it together.
     sizes = hashed.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n"))
     known = sizes.agg(F.count("*").alias("n")).first()["n"]
     per_language = min(per_language, max(1, max_texts // max(1, known)))
-    # A cut in the hashes leaves a little more than the bound of each language; only those are ranked.
+    # A cut in the hashes leaves a little more than the bound of each language; only those are ranked. One row a
+    # language goes to every task, if they are few enough; else texts and sizes meet by language.
+    sizes = F.broadcast(sizes) if known <= MOST_BROADCAST else sizes
     near = hashed.join(sizes, "l").where(F.pmod("h", F.lit(1 << 20)) / (1 << 20) < F.lit(2 * per_language + 20) / F.col("n")).select("l", "h", "t")
     once = near.groupBy("l", "h").agg(F.min("t").alias("t"))
-    return once.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language).select("l", "h", "t")
+    return once.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language)
+
 
+def train(docs: DataFrame, per_language: int = 600, max_texts: int = 12_000, text_col: str = "text", lang_col: str = "lang", bounds: bool = False) -> Hierarchy:
+    """Fit on the labelled rows of ``docs``; the driver gets ``max_texts`` features of 4 KB at most.
 
-def train(docs: DataFrame, per_language: int = 600, max_texts: int = 12_000, text_col: str = "text", lang_col: str = "lang", cuts: int = 4) -> Hierarchy:
-    """Fit on the labelled rows of ``docs``; the driver gets (1 + cuts) * max_texts features of 4 KB at most."""
+    ``bounds`` also learns what identify() needs to reject text.
+    """
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "language")
+    sample_texts(docs, per_language, max_texts, text_col, lang_col).write.parquet(path)
+    picked = spark.read.schema("l string, h long, t string, r int").parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 100):
-            hashes, parts, size = batch.column("h").to_pylist(), [], []
-            for h, t in zip(hashes, batch.column("t").to_pylist(), strict=True):
-                rng = np.random.default_rng(h & 0xFFFFFFFF)
-                own = [t] + [t[(at := int(rng.integers(max(1, len(t))))) : at + (2 << int(rng.integers(13)))] for _ in range(cuts)]
-                size += [m if _LETTER.search(p) else 0 for p, m in zip(own, magnitudes(own).tolist(), strict=True)]
-                parts += own
-            found = [x.tobytes() for x in profiles(parts).astype(np.float16)]
-            step = 1 + cuts
-            rows = [found[i : i + step] for i in range(0, len(found), step)], [size[i : i + step] for i in range(0, len(size), step)]
-            yield pa.RecordBatch.from_arrays([batch.column("l").cast(pa.string()), batch.column("h"), pa.array(rows[0], pa.list_(pa.binary())), pa.array(rows[1], pa.list_(pa.int32()))], ["l", "h", "x", "size"])
-
-    picked = sample_texts(docs, per_language, max_texts, text_col, lang_col)
-    rows = sorted(picked.mapInArrow(run, "l string, h long, x array<binary>, size array<int>").collect(), key=lambda r: (r["l"], r["h"]))
+            found = [x.tobytes() for x in profiles(batch.column("t").to_pylist()).astype(np.float16)]
+            yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("h"), pa.array(found, pa.binary())], ["l", "h", "x"])
+
+    rows = sorted((r["l"], r["h"], r["x"]) for r in picked.select("l", "h", "t").mapInArrow(run, "l string, h long, x binary").collect())
     if not rows:
         return Hierarchy([])
-    x = np.frombuffer(b"".join(v for r in rows for v in r["x"]), np.float16).reshape(len(rows), 1 + cuts, DIMENSIONS).astype(np.float32)
-    size = np.array([r["size"] for r in rows], int)
-    return Hierarchy.fit(Sample([r["l"] for r in rows], x[:, 0], size[:, 0], x[:, 1:].reshape(-1, DIMENSIONS), size[:, 1:].ravel(), np.repeat(np.arange(len(rows)), cuts)))
+    langs, x = [r[0] for r in rows], np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(len(rows), DIMENSIONS)
+    del rows
+    model = Hierarchy.fit(langs, x)
+    if bounds:
+        _learn_bounds(model, picked, langs, x)
+    discard(spark, path)
+    return model
+
+
+def _learn_bounds(model: Hierarchy, picked: DataFrame, langs: list[str], x: np.ndarray, cuts: int = 4) -> None:
+    """Likelihoods of each text and of cuts of it under the frequencies of the other half of its language's texts."""
+    at = {k: np.flatnonzero(np.array(langs) == v) for k, v in enumerate(model.languages)}
+    frequencies = lambda rows: np.log(np.square(x[rows].astype(np.float64)).mean(0) + 1e-6) if len(rows) else np.zeros(DIMENSIONS)
+    model.logs = np.stack([frequencies(at[k]) for k in at], 1)
+    other = {v: (frequencies(at[k][1::2]).astype(np.float32), frequencies(at[k][::2]).astype(np.float32)) for k, v in enumerate(model.languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 100):
+            out: list[tuple] = []
+            for lang, h, t, r in zip(*(batch.column(c).to_pylist() for c in ("l", "h", "t", "r")), strict=True):
+                rng = np.random.default_rng(h & 0xFFFFFFFF)
+                own = [t] + [t[(a := int(rng.integers(max(1, len(t))))) : a + (2 << int(rng.integers(13)))] for _ in range(cuts)]
+                own = [p for p in own if _LETTER.search(p)]
+                if own:
+                    value = np.square(profiles(own), dtype=np.float64) @ other[lang][(r - 1) % 2]
+                    out += [(lang, v, m) for v, m in zip(value.tolist(), magnitudes(own).tolist(), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.int32()), strict=True)], ["l", "value", "size"])
+
+    found: dict[int, list[tuple[float, int]]] = {}
+    for r in picked.mapInArrow(run, "l string, value double, size int").collect():
+        found.setdefault(model.languages.index(r["l"]), []).append((r["value"], r["size"]))
+    model.calibrate({k: v for k, v in found.items() if len(at[k]) >= LEAST_TEXTS})
 
 
 def identify(docs: DataFrame, model: Hierarchy, keep: list[str], text_col: str = "text", reject: bool = False, result_cols: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
