@@ -6,10 +6,10 @@ key or grid cell), never by a cross join.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,20 +109,28 @@ def link_pairs(a: DataFrame, b: DataFrame, keys: list[str], id_col: str) -> Data
 
 
 def greedy(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one matches of each frame by descending score; ties by a_ord, then b_ord. Sequential within a frame."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "a_ord", "b_ord"], ascending=[False, True, True], kind="stable")
-        used_a, used_b, rows = set(), set(), []
-        for i, a, b in zip(pdf.index, pdf["a_ord"], pdf["b_ord"], strict=True):
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                rows.append(i)
-        return pdf.loc[rows]
+    """One-to-one matches of each frame by descending score; ties by a_ord, then b_ord.
 
+    Frames stream through a task in the order of their matches; it holds the ones taken of one frame.
+    """
     cols = matches.select(*keys, "a_ord", "b_ord", "score")
-    return cols.groupBy(*keys).applyInPandas(pick, cols.schema)
+    dealt = cols.repartition(*keys).sortWithinPartitions(*keys, F.col("score").desc(), "a_ord", "b_ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, used_a, used_b = object(), set(), set()
+        for batch in batches:
+            keep = []
+            for *own, a, b in zip(*(batch.column(c).to_pylist() for c in (*keys, "a_ord", "b_ord")), strict=True):
+                if own != frame:
+                    frame, used_a, used_b = own, set(), set()
+                free = a not in used_a and b not in used_b
+                if free:
+                    used_a.add(a)
+                    used_b.add(b)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return dealt.mapInArrow(run, cols.schema)
 
 
 def unused_predictions(instances: DataFrame, key: str = "frame_id") -> DataFrame:
