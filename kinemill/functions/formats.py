@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _INT, _FLOAT = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: A label line of a class and four or five numbers, each as in _FLOAT.
+BOX_LINE = r"^[+-]?\d+(?:\s+[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?){4,5}$"
 
 
 def round_half_up(x: Column) -> Column:

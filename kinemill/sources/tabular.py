@@ -17,25 +17,25 @@ def yolo_lines(lines: DataFrame, width: Column, height: Column, n_keypoints: int
 
     Comments and lines that can't be read are left out. Names of classes default to "".
     """
-    tokens = F.split(F.trim(F.regexp_replace("value", r"[\r\n]", "")), r"\s+")
+    text = F.trim("value", F.lit(" \t\r\n"))
     # split and read once: a generator's output is never merged into the many expressions that use it
-    rows = lines.where(~F.trim("value").startswith("#") & (F.trim("value") != "")).withColumn("t", F.explode(F.array(tokens)))
-    rows = rows.withColumn("__v", F.explode(F.array(F.transform(F.slice("t", 2, 1 << 20), T.strict_float)))).withColumn("kind", T.yolo_kind(F.col("t")))
-    t, v = F.col("t"), F.col("__v")
+    rows = lines.withColumn("__text", F.explode(F.array(text))).where(~F.col("__text").startswith("#") & (F.col("__text") != ""))
+    rows = rows.withColumn("t", F.explode(F.array(F.split("__text", r"\s+"))))
+    t, n = F.col("t"), F.size("t")
+    # nearly all lines are boxes: one pattern for the whole line, then plain casts; the others number by number
+    few = F.array(*[F.get(t, F.lit(i)).try_cast("double") for i in range(1, 6)])
+    rows = rows.withColumn("__v", F.explode(F.array(F.when(n <= 6, few).otherwise(F.transform(F.slice(t, F.lit(2), n), T.strict_float)))))
+    v, kind, class_id = F.col("__v"), T.yolo_kind(t), t[0].try_cast("bigint")
+    whole = F.when(n <= 6, F.col("__text").rlike(T.BOX_LINE)).otherwise(~F.exists(v, lambda x: x.isNull()) & ((kind != "pose") | (n == 5 + 3 * n_keypoints)))
     names_map = F.create_map(*[F.lit(x) for k, v in (names or {-1: ""}).items() for x in (k, v)])
-    score = F.get(v, F.lit(4))
     corner = lambda i: F.array(F.get(v, 2 * i) * width, F.get(v, 1 + 2 * i) * height)
-    polygon = F.transform(F.sequence(F.lit(0), ((F.size(t) - 3) / 2).cast("int")), corner)
+    polygon = F.transform(F.sequence(F.lit(0), ((n - 3) / 2).cast("int")), corner)
     points = T.yolo_points(t, v, width, height)
-    numbers_ok = ~F.exists(v, lambda x: x.isNull())
-    is_box = F.col("kind").isin("detection", "detection_conf")
-    out = rows.select(
-        *[c for c in lines.columns if c != "value"], "kind", T.strict_int(t[0]).alias("class_id"), F.coalesce(F.try_element_at(names_map, T.strict_int(t[0]).cast("int")), F.lit("")).alias("category"),
-        F.when(is_box, T.yolo_box(v, width, height)).alias("box"), F.when(F.col("kind") == "segmentation", polygon).alias("polygon"), F.when(F.col("kind") == "pose", points).alias("points"),
-        F.when(F.col("kind") == "detection_conf", score).alias("score"), (F.col("kind") == "detection_conf").alias("is_predicted"), numbers_ok.alias("__ok"), F.size(t).alias("__n"),
+    return rows.where(whole & class_id.isNotNull() & kind.isNotNull()).select(
+        *[c for c in lines.columns if c != "value"], kind.alias("kind"), class_id.alias("class_id"), F.coalesce(F.try_element_at(names_map, class_id.try_cast("int")), F.lit("")).alias("category"),
+        F.when(n <= 6, T.yolo_box(v, width, height)).alias("box"), F.when(kind == "segmentation", polygon).alias("polygon"), F.when(kind == "pose", points).alias("points"),
+        F.when(n == 6, F.get(v, F.lit(4))).alias("score"), (n == 6).alias("is_predicted"),
     )
-    whole = (F.col("kind") != "pose") | (F.col("__n") == 5 + 3 * n_keypoints)
-    return out.where(F.col("__ok") & F.col("class_id").isNotNull() & F.col("kind").isNotNull() & whole).drop("__ok", "__n")
 
 
 def read_yolo(spark: SparkSession, root: str, width: int, height: int, n_keypoints: int, names: dict[int, str] | None = None) -> DataFrame:
