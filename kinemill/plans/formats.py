@@ -10,7 +10,7 @@ from ..operators import aggregates
 from ..sources import tabular
 from . import pose_view as V
 from .poses import big, r6
-from .registry import ORACLE_SQL, query
+from .registry import query
 
 
 def _box_line():
@@ -77,22 +77,13 @@ def s44_from_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("frame_idx", "track_id", big(F.size(F.filter("points", lambda p: p["visible"])), "n_points"))
 
 
-@query(f"WITH {V.BOXES} SELECT bbox_id, 'Polygon' AS geom_type, category, round(x1, 6) AS x0 FROM bx WHERE frame_id < 2000")
+@query(f"WITH {V.BOXES} SELECT bbox_id, 'Polygon' AS geom_type, category, round(x1, 6) AS x0 FROM bx")
 def s41_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _geojson(V.boxes(spark, sf_dir).where("frame_id < 2000"))
-
-
-@query(ORACLE_SQL["s41_geojson"].removesuffix(" WHERE frame_id < 2000"))
-def s41_geojson_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _geojson(V.boxes(spark, sf_dir))
-
-
-def _geojson(boxes: DataFrame) -> DataFrame:
     """Boxes to a feature collection for each frame and back."""
     from ..functions import geometry as G
 
     ring = G.box_ring(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
-    rois = boxes.withColumn("geometry", G.polygon_geojson(F.array(ring)))
+    rois = V.boxes(spark, sf_dir).withColumn("geometry", G.polygon_geojson(F.array(ring)))
     features = tabular.to_geojson(rois, ["bbox_id", "category"])
     texts = features.groupBy("frame_id").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value"))
     out = tabular.read_geojson(texts)

@@ -12,7 +12,7 @@ from ..functions import raster as R
 from ..operators import aggregates
 from . import pose_view as V
 from .poses import big, r6
-from .registry import ORACLE_SQL, query
+from .registry import query
 
 XY = ("x1", "y1", "x2", "y2")
 
@@ -90,38 +90,20 @@ def a05_label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("label_image_id", F.explode(masks.label_ids(F.col("data"))).alias("label_id")).select("label_image_id", big(F.col("label_id"), "label_id"))
 
 
-@query(f"""WITH {V.BOXES} SELECT bbox_id, 93 AS wkb_bytes, CAST(greatest(0, least(64, ceil(x2)) - floor(x1)) * greatest(0, (SELECT count(*) FROM range(0, 64) t(y) WHERE y1 <= y + 0.5 AND y + 0.5 < y2)) AS BIGINT) AS area FROM bx WHERE frame_id < 500""")
+@query(f"""WITH {V.BOXES} SELECT bbox_id, 93 AS wkb_bytes, CAST(greatest(0, least(64, ceil(x2)) - floor(x1)) * greatest(0, (SELECT count(*) FROM range(0, 64) t(y) WHERE y1 <= y + 0.5 AND y + 0.5 < y2)) AS BIGINT) AS area FROM bx""")
 def f12_wkb_and_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wkb_and_raster(V.boxes(spark, sf_dir).where("frame_id < 500"))
-
-
-@query(ORACLE_SQL["f12_wkb_and_raster"].removesuffix(" WHERE frame_id < 500"))
-def f12_wkb_and_raster_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wkb_and_raster(V.boxes(spark, sf_dir))
-
-
-def _wkb_and_raster(boxes: DataFrame) -> DataFrame:
     """Boxes as polygons through WKB and back, then scan-converted to a 64 x 64 mask."""
-    b = boxes.withColumn("g", G.polygon_geojson(F.array(G.box_ring(*_xy()))))
+    b = V.boxes(spark, sf_dir).withColumn("g", G.polygon_geojson(F.array(G.box_ring(*_xy()))))
     b = b.withColumn("w", R.wkb_of_geojson("g")).withColumn("r", R.rle_of_geojson(R.geojson_of_wkb("w"), F.lit(64), F.lit(64)))
     return b.select("bbox_id", big(F.length("w"), "wkb_bytes"), masks.area(F.col("r")).alias("area"))
 
 
-@query("SELECT l_orderkey * 10 + l_linenumber AS mask_id, CAST(floor(l_quantity / 5 + 1) * (l_linenumber + 1) AS DOUBLE) AS area, true AS same FROM lineitem WHERE l_orderkey < 300")
+@query("SELECT l_orderkey * 10 + l_linenumber AS mask_id, CAST(floor(l_quantity / 5 + 1) * (l_linenumber + 1) AS DOUBLE) AS area, true AS same FROM lineitem")
 def f16_mask_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mask_contours(V.table(spark, sf_dir, "lineitem").where("l_orderkey < 300"))
-
-
-@query(ORACLE_SQL["f16_mask_contours"].removesuffix(" WHERE l_orderkey < 300"))
-def f16_mask_contours_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mask_contours(V.table(spark, sf_dir, "lineitem"))
-
-
-def _mask_contours(lines: DataFrame) -> DataFrame:
     """Rectangular masks traced to polygons: their area, and the mask that scan conversion gives back."""
     w, h = F.floor(F.col("l_quantity") / 5 + 1), F.col("l_linenumber") + 1
     ring = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(G.box_ring(F.lit(2.0), F.lit(1.0), w + 2.0, h + 1.0)).alias("coordinates")))
-    m = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("mask_id"), R.rle_of_geojson(ring, F.lit(12), F.lit(16)).alias("r"))
+    m = V.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("mask_id"), R.rle_of_geojson(ring, F.lit(12), F.lit(16)).alias("r"))
     m = m.withColumn("g", R.geojson_of_rle("r", F.lit(12), F.lit(16)))
     rings = F.from_json("g", "type string, coordinates array<array<array<double>>>")["coordinates"]
     return m.select("mask_id", G.polygon_area(rings).alias("area"), (R.rle_of_geojson("g", F.lit(12), F.lit(16)) == F.col("r")).alias("same"))

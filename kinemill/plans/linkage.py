@@ -11,7 +11,7 @@ from ..functions import skeletons as S
 from ..operators import matching, merge
 from . import pose_view as V
 from .poses import big, r6
-from .registry import ORACLE_SQL, query
+from .registry import query
 
 BOTH = f"WITH {V.sql('event_id % 2 = 0', '_a')}, {V.sql('event_id % 2 = 1', '_b')}"
 FRAME = ["video_id", "frame_idx"]
@@ -83,27 +83,6 @@ def j22_identical_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("a_instance_id").alias("self_id"), F.col("b_instance_id").alias("other_id"))
 
 
-@query(f"""WITH {V.sql()}, {V.SKELETONS}, s AS (SELECT * FROM sk WHERE skeleton_id < 200)
-SELECT a.skeleton_id AS self_id, b.skeleton_id AS other_id, len(list_intersect(a.nodes, b.nodes)) AS n_common, round(len(list_intersect(a.nodes, b.nodes)) / len(list_distinct(list_concat(a.nodes, b.nodes))), 6) AS jaccard, round(2 * len(list_intersect(a.nodes, b.nodes)) / (len(a.nodes) + len(b.nodes)), 6) AS dice FROM s a, s b WHERE len(list_intersect(a.nodes, b.nodes)) / len(list_distinct(list_concat(a.nodes, b.nodes))) >= 0.5""")
-def j09_skeleton_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sk = V.skeletons(spark, sf_dir).where("skeleton_id < 200")
-    out = matching.skeleton_matches(sk, sk, "overlap", 0.5)
-    sim = S.similarity(F.col("a_nodes"), F.col("b_nodes"))
-    return out.select(F.col("a_skeleton_id").alias("self_id"), F.col("b_skeleton_id").alias("other_id"), big(sim["n_common"], "n_common"), r6(sim["jaccard"], "jaccard"), r6(sim["dice"], "dice"))
-
-
-@query(f"WITH {V.sql()}, {V.SKELETONS}, s AS (SELECT * FROM sk WHERE skeleton_id < 300) SELECT a.skeleton_id AS self_id, b.skeleton_id AS other_id FROM s a JOIN s b ON a.nodes = b.nodes")
-def j10_skeleton_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sk = V.skeletons(spark, sf_dir).where("skeleton_id < 300")
-    return matching.skeleton_matches(sk, sk, "structure").select(F.col("a_skeleton_id").alias("self_id"), F.col("b_skeleton_id").alias("other_id"))
-
-
-@query(f"WITH {V.sql()}, {V.SKELETONS}, s AS (SELECT * FROM sk WHERE skeleton_id < 300) SELECT a.skeleton_id AS self_id, b.skeleton_id AS other_id FROM s a, s b WHERE len(list_intersect(a.nodes, b.nodes)) = len(a.nodes)")
-def j09_skeleton_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sk = V.skeletons(spark, sf_dir).where("skeleton_id < 300")
-    return matching.skeleton_matches(sk, sk, "subset").select(F.col("a_skeleton_id").alias("self_id"), F.col("b_skeleton_id").alias("other_id"))
-
-
 def _classes(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     """All skeletons with their class (a row with skeleton_id), and the pairs of classes (a row with other_id)."""
     members, classes = matching.skeleton_classes(V.skeletons(spark, sf_dir), method)
@@ -121,17 +100,17 @@ UNION ALL SELECT a.class_id, NULL, b.class_id, {common}, round({common} / len(li
 
 
 @query(_classes_sql("{common} / len(list_distinct(list_concat(a.nodes, b.nodes))) >= 0.5"))
-def j09_skeleton_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j09_skeleton_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classes(spark, sf_dir, "overlap")
 
 
 @query(_classes_sql("{common} = len(a.nodes)"))
-def j09_skeleton_subset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j09_skeleton_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classes(spark, sf_dir, "subset")
 
 
 @query(_classes_sql("a.nodes = b.nodes"))
-def j10_skeleton_structure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j10_skeleton_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classes(spark, sf_dir, "structure")
 
 
@@ -159,22 +138,13 @@ def j13_video_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.video_map(v.where("video_id % 2 = 1"), v.where("video_id % 2 = 0"), "shape").select("video_id", "base_id")
 
 
-@query("""WITH v AS (SELECT page_id, page_id // 2 AS pair, CASE WHEN page_id % 2 = 0 THEN '/data/' ELSE 'D:\\mnt\\' END AS root FROM pages WHERE page_id < 200)
+@query("""WITH v AS (SELECT page_id, page_id // 2 AS pair, CASE WHEN page_id % 2 = 0 THEN '/data/' ELSE 'D:\\mnt\\' END AS root FROM pages)
 SELECT b.page_id AS video_id, CASE WHEN b.page_id % 4 = 1 THEN a.page_id END AS base_id, CASE WHEN b.page_id % 4 = 1 THEN 'leaf' END AS stage FROM v b JOIN v a ON a.pair = b.pair AND a.page_id % 2 = 0 WHERE b.page_id % 2 = 1""")
 def j13_video_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cascade(V.table(spark, sf_dir, "pages").where("page_id < 200"))
-
-
-@query(ORACLE_SQL["j13_video_cascade"].replace(" WHERE page_id < 200", ""))
-def j13_video_cascade_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cascade(V.table(spark, sf_dir, "pages"))
-
-
-def _cascade(pages: DataFrame) -> DataFrame:
     """Pairs of videos under different roots; of every second pair the heights differ, so it can't match."""
     pair = F.floor(F.col("page_id") / 2).cast("string")
     name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/data/s"), pair, F.lit("/v.mp4"))).otherwise(F.concat(F.lit("D:\\mnt\\s"), pair, F.lit("\\v.mp4")))
-    v = pages.select(F.col("page_id").alias("video_id"), F.array(name).alias("filenames"), F.lit(10).alias("n_frames"), F.when(F.col("page_id") % 4 == 3, 9).otherwise(8).alias("height"), F.lit(8).alias("width"), F.lit(None).cast("array<int>").alias("crop"))
+    v = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("video_id"), F.array(name).alias("filenames"), F.lit(10).alias("n_frames"), F.when(F.col("page_id") % 4 == 3, 9).otherwise(8).alias("height"), F.lit(8).alias("width"), F.lit(None).cast("array<int>").alias("crop"))
     return matching.video_map(v.where("video_id % 2 = 1"), v.where("video_id % 2 = 0"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import points as P
 from ..operators import aggregates, select, windows
 from . import pose_view as V
-from .registry import ORACLE_SQL, query
+from .registry import query
 
 CTE = f"WITH {V.sql()}"
 
@@ -121,18 +121,10 @@ def a11_untracked_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.slot_untracked(V.instances(spark, sf_dir).withColumn("track_id", F.lit(None).cast("bigint"))).select("instance_id", "slot")
 
 
-@query(f"""{CTE}, tr AS (SELECT DISTINCT video_id, user_id FROM inst WHERE user_id < 30), dom AS (SELECT video_id, f.frame_idx, user_id, node FROM tr, (SELECT unnest(generate_series(0, 29)) AS frame_idx) f, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS node) n)
+@query(f"""{CTE}, tr AS (SELECT DISTINCT video_id, user_id FROM inst), dom AS (SELECT video_id, f.frame_idx, user_id, node FROM tr, (SELECT unnest(generate_series(0, 29)) AS frame_idx) f, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS node) n)
 SELECT video_id, frame_idx, user_id AS track_id, node, x, y FROM dom LEFT JOIN pts USING (frame_idx, user_id, node)""")
 def a12_dense_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense(V.instances(spark, sf_dir).where("track_id < 30"), V.frames(spark, sf_dir))
-
-
-@query(ORACLE_SQL["a12_dense_tensor"].replace(" WHERE user_id < 30", ""))
-def a12_dense_tensor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense(V.instances(spark, sf_dir), V.frames(spark, sf_dir))
-
-
-def _dense(inst: DataFrame, frames: DataFrame) -> DataFrame:
+    inst, frames = V.instances(spark, sf_dir), V.frames(spark, sf_dir)
     tracks = inst.select("video_id", "track_id").distinct()
     sizes = tracks.select("video_id").distinct().withColumn("n_frames", F.lit(30).cast("bigint"))
     out = aggregates.dense_tensor(inst.drop("video_id", "frame_idx"), frames, tracks, len(V.NODES), sizes)
@@ -209,15 +201,8 @@ def t05_even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.even_sample(V.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", 4)
 
 
-@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos, o_orderkey % 3 AS video_id, o_orderkey AS frame_idx, o_orderkey AS frame_id FROM orders WHERE o_orderpriority = '1-URGENT' QUALIFY pos < 500")
-def t01_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = V.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(500)
-    request = windows.positional_rank(orders, [], [F.col("o_totalprice").desc(), F.col("o_orderkey")], "pos").select("pos", (F.col("o_orderkey") % 3).alias("video_id"), F.col("o_orderkey").alias("frame_idx"))
-    return select.extract(V.box_frames(spark, sf_dir), request).select("pos", "video_id", "frame_idx", "frame_id")
-
-
 @query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos, o_orderkey % 3 AS video_id, o_orderkey AS frame_idx, o_orderkey AS frame_id FROM orders")
-def t01_extract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t01_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a request, in the order of its price."""
     orders = V.table(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("lead"))
     request = windows.global_rank(orders, "lead", ["o_orderkey"], "pos").select("pos", (F.col("o_orderkey") % 3).alias("video_id"), F.col("o_orderkey").alias("frame_idx"))
