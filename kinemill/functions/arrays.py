@@ -93,3 +93,22 @@ def prefetch(last: Column, current: Column, n_frames: Column, ahead: int, behind
     step = F.when(current < last, -1).otherwise(1)
     offsets = [*range(1, ahead + 1), *range(-1, -behind - 1, -1)]
     return F.filter(F.transform(F.array(*map(F.lit, offsets)), lambda k: current + step * k), lambda f: (f >= 0) & (f < n_frames))
+
+
+def _low_product(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of two 32-bit numbers; no intermediate value has more than 49 bits."""
+    word = F.lit(0xFFFFFFFF)
+    high = F.shiftleft((a * F.shiftright(b, 16)).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (a * b.bitwiseAND(F.lit(0xFFFF)) + high).bitwiseAND(word)
+
+
+def random_number(i: Column, seed: int = 0x9E3779B9) -> Column:
+    """The i-th number (from 0) in [0, 1) of the seeded splits' 32-bit generator, for any row on its own.
+
+    A number's state is the seed plus a multiple of a step, so no number needs the one before. The constants are fixed values.
+    """
+    word = F.lit(0xFFFFFFFF)
+    t = (F.lit(seed).cast("bigint") + _low_product((i + 1).cast("bigint"), F.lit(0x6D2B79F5).cast("bigint"))).bitwiseAND(word)
+    t = _low_product(t.bitwiseXOR(F.shiftright(t, 15)), t.bitwiseOR(F.lit(1)))
+    t = t.bitwiseXOR((t + _low_product(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(word))
+    return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)

@@ -155,3 +155,16 @@ def test_geojson_udf(spark):
     g = json.dumps({"type": "Polygon", "coordinates": [[[0, 0], [3, 0], [3, 2], [0, 2], [0, 0]]]})
     [row] = spark.createDataFrame([(g,)], "g string").select(R.rle_of_geojson("g", F.lit(4), F.lit(5)).alias("r")).select(masks.area(F.col("r")), masks.bounds(F.col("r"), F.lit(5))).collect()
     assert row[0] == 6 and tuple(row[1]) == (0, 0, 3, 2)
+
+
+def test_random_numbers_by_index_are_the_drawn_ones(spark):
+    from itertools import islice
+
+    from pyspark.sql import functions as F
+
+    from kinemill.functions import arrays
+    from kinemill.operators import select
+
+    for seed in (0x9E3779B9, 0, 7, 0xFFFFFFFF):
+        got = [r[0] for r in spark.range(0, 500, 1, 1).select(arrays.random_number(F.col("id"), seed)).collect()]
+        assert got == list(islice(select.random_numbers(seed), 500))
