@@ -319,9 +319,9 @@ def j13g_file_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{CTE}, f AS (SELECT DISTINCT video_id, frame_idx FROM inst WHERE NOT is_predicted), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS r, count(*) OVER (PARTITION BY video_id) AS n FROM f), s AS (SELECT * FROM r WHERE n <= 6 OR r IN (0, n // 6, 2 * n // 6, 3 * n // 6, 4 * n // 6, 5 * n // 6))
 SELECT video_id AS in_id, video_id AS base_id, any_value(n) AS n_common, count(*) AS n_sampled, count(*) FILTER (frame_idx % 4 = 1) AS n_equal, count(*) FILTER (frame_idx % 4 = 1) >= least(3, any_value(n)) AS is_match FROM s GROUP BY video_id""")
 def j13c_pose_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same videos, of which three frames in four have other poses."""
+    """The same videos, of which three frames in four have other poses: moved by half a unit of y, whose values are whole, so that none meets another instance's pose."""
     base = V.instances(spark, sf_dir)
-    moved = F.transform("points", lambda p: F.struct((p["x"] + 1).alias("x"), p["y"].alias("y"), p["visible"].alias("visible"), p["complete"].alias("complete"), p["score"].alias("score")))
+    moved = F.transform("points", lambda p: F.struct((p["x"] + 1).alias("x"), (p["y"] + 0.5).alias("y"), p["visible"].alias("visible"), p["complete"].alias("complete"), p["score"].alias("score")))
     incoming = base.withColumn("points", F.when(F.col("frame_idx") % 4 == 1, F.col("points")).otherwise(moved))
     pairs = spark.range(3).select(F.col("id").alias("in_id"), F.col("id").alias("base_id"))
     return videos.pose_matches(incoming, base, pairs)
