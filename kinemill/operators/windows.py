@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def trails(positions: DataFrame, length: int, key: list[str], with_path: bool = False) -> DataFrame:
@@ -35,21 +39,34 @@ def segments(points: DataFrame, key: list[str]) -> DataFrame:
     return out.where("x is not null and y is not null and x2 is not null and y2 is not null")
 
 
-def _ranged(rows: DataFrame, order: str, buckets: int | None) -> DataFrame:
-    """rows with ``__b``, the number of their range of ``order``; about as many rows in each. As many as there are shuffle partitions, 64 at least."""
+def _ranged(rows: DataFrame, order: str, size: Column, buckets: int | None) -> DataFrame:
+    """rows with ``__b``, the number of their range of ``order``, and ``__base``, the sum of ``size`` over the ranges before.
+
+    About as many rows in each range; as many ranges as there are shuffle partitions, 64 at least. The ranges' sums come
+    to the driver (one row a range) and go back as literals: joined on, they are a self-join on an expression over a
+    lambda, for which Spark can plan a filter by a column that its input lacks.
+    """
     buckets = buckets or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({*rows.select(F.col(order).cast("double").alias("v")).approxQuantile("v", [k / buckets for k in range(1, buckets)], 1 / (8 * buckets))})
-    grid = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    return rows.withColumn("__b", F.size(F.filter(grid, lambda c: c <= F.col(order).cast("double"))))
+    cuts = sorted({*rows.select(F.col(order).cast("double").alias("v")).approxQuantile("v", [k / buckets for k in range(1, buckets)], 1 / (8 * buckets))}) if buckets > 1 else []
+    # cuts in groups: a row is compared with the first cut of each, and with the cuts of its own
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    v = F.col(order).cast("double")
+    doubles = lambda values: F.array(*map(F.lit, values)).cast("array<double>")
+    below = lambda grid: F.size(F.filter(grid, lambda c: c <= v))
+    group = below(doubles([g[0] for g in groups])) - 1
+    own = F.get(F.array(*map(doubles, groups)), group) if groups else doubles([])
+    ranged = rows.withColumn("__b", F.when(group >= 0, group * step + below(own)).otherwise(0))
+    sums = ranged.groupBy("__b").agg(F.sum(size).alias("__t"))
+    totals = {r["__b"]: r["__t"] or 0 for r in sums.collect()}
+    bases = F.array(*map(F.lit, accumulate((totals.get(b, 0) for b in range(len(cuts))), initial=0)))
+    return ranged.withColumn("__base", F.get(bases.cast(ArrayType(sums.schema["__t"].dataType)), F.col("__b")))
 
 
 def global_rank(rows: DataFrame, order: str, ties: list[str], name: str = "pos", buckets: int | None = None) -> DataFrame:
     """rows numbered from 0 over the whole table in ascending ``order``, then ``ties``, in two phases as ``running_offsets``."""
-    ranged = _ranged(rows, order, buckets)
-    totals = ranged.groupBy("__b").agg(F.count("*").alias("__t"))
-    before = totals.withColumn("__base", F.sum("__t").over(Window.partitionBy(F.lit(0)).orderBy("__b")) - F.col("__t")).select("__b", "__base")
     rank = F.row_number().over(Window.partitionBy("__b").orderBy(order, *ties))
-    return ranged.join(F.broadcast(before), "__b").withColumn(name, (F.col("__base") + rank - 1).cast("bigint")).drop("__b", "__base")
+    return _ranged(rows, order, F.lit(1), buckets).withColumn(name, (F.col("__base") + rank - 1).cast("bigint")).drop("__b", "__base")
 
 
 def running_offsets(rows: DataFrame, order: str, size: str, buckets: int | None = None) -> DataFrame:
@@ -58,13 +75,9 @@ def running_offsets(rows: DataFrame, order: str, size: str, buckets: int | None
     Two phases, so that no task gets the whole table: sums within ranges of ``order``, then the ranges' totals (one
     row a range) added on.
     """
-    ranged = _ranged(rows, order, buckets)
-    totals = ranged.groupBy("__b").agg(F.sum(size).alias("__t"))
-    before = totals.withColumn("__base", F.sum("__t").over(Window.partitionBy(F.lit(0)).orderBy("__b")) - F.col("__t")).select("__b", "__base")
     w = Window.partitionBy("__b").orderBy(order)
-    out = ranged.join(F.broadcast(before), "__b")  # one row a range: ``buckets`` rows at most
     end = F.col("__base") + F.sum(size).over(w)
-    return out.withColumn("end", end.cast("bigint")).withColumn("start", (F.col("end") - F.col(size)).cast("bigint")).drop("__b", "__base")
+    return _ranged(rows, order, F.col(size), buckets).withColumn("end", end.cast("bigint")).withColumn("start", (F.col("end") - F.col(size)).cast("bigint")).drop("__b", "__base")
 
 
 def runs(rows: DataFrame, group: list[str], order: str, bit: str) -> DataFrame:
