@@ -316,8 +316,12 @@ def _spans(counts: np.ndarray, xy: np.ndarray, height: np.ndarray, width: np.nda
     y = first[k] + _nth(n)
     x = ax[k] + (y + 0.5 - ay[k]) / (by[k] - ay[k]) * (bx[k] - ax[k])
     key = own[k] * (int(height.max(initial=0)) + 1) + y
-    order = np.lexsort((x, key))
+    order = np.argsort(key, kind="stable")
     key, x, y, own = key[order], x[order], y[order], own[k][order]
+    if len(key) % 2 == 0 and (key[::2] == key[1::2]).all() and (key[2::2] != key[1:-1:2]).all():  # two on each line
+        x = np.column_stack((np.minimum(x[::2], x[1::2]), np.maximum(x[::2], x[1::2]))).ravel()
+    else:
+        x = x[np.lexsort((x, key))]
     new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     at = np.arange(len(key))
     even = (at - np.maximum.accumulate(np.where(new, at, 0))) % 2 == 0
@@ -454,6 +458,20 @@ def rle_of_polygons(masks: pa.Array, height: pa.Array, width: pa.Array) -> pa.Ar
     return _rle_of(_lengths(polygons), polygons.flatten(), mask_of, *_sizes(height, width), masks.is_null().to_numpy(zero_copy_only=False))
 
 
+@F.arrow_udf(DoubleType())
+def area_of_polygons(masks: pa.Array) -> pa.Array:
+    """Sum of the polygons' areas, each as ``geometry.polygon_area`` gives it."""
+    polygons = masks.flatten()
+    n_rings, (counts, xy) = _lengths(polygons), _points(polygons.flatten())
+    ring, polygon = np.repeat(np.arange(len(counts)), counts), np.repeat(np.arange(len(n_rings)), n_rings)
+    i = np.flatnonzero(ring[1:] == ring[:-1])
+    areas = np.abs(np.bincount(ring[i], xy[i, 0] * xy[i + 1, 1] - xy[i + 1, 0] * xy[i, 1], len(counts)) / 2)
+    outer = np.zeros(len(n_rings))
+    outer[n_rings > 0] = areas[_starts(n_rings)[n_rings > 0]]
+    own = np.abs(2 * outer - np.bincount(polygon, areas, len(n_rings)))
+    return pa.array(np.bincount(np.repeat(np.arange(len(masks)), _lengths(masks)), own, len(masks)), mask=masks.is_null().to_numpy(zero_copy_only=False))
+
+
 def _traced(pixels: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Polygons of masks (mask, row, column). Those of one ring are traced together, the rest one by one."""
     m, h, w = pixels.shape

@@ -8,7 +8,9 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from kinemill.functions import geometry as G
 from kinemill.functions import raster as R
 
 RINGS = pa.list_(pa.list_(pa.list_(pa.float64())))
@@ -110,3 +112,11 @@ def test_contours_of_batches_are_much_faster():
     got = R.polygons_of_rle.func(a, *sizes)
     assert time.process_time() - began < plain / 5
     assert got.to_pylist() == want
+
+
+def test_areas_of_several_polygons(spark):
+    rng = random.Random(7)
+    own = [(k, v) for k, v in enumerate(some(rng, lambda: [p for p in polygons(rng, rng.randrange(4)) if p is not None], 300))]
+    d = spark.createDataFrame(own, "id int, g array<array<array<array<double>>>>")
+    got = d.select(R.area_of_polygons("g").alias("a"), F.aggregate("g", F.lit(0.0), lambda s, rings: s + G.polygon_area(rings)).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and sum(r["a"] is None for r in got) > 5
